@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -29,9 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors."""
+    """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors.
+
+    The shuffle files that led to it are of no more use; the driver's collector is run so that
+    Spark removes them now rather than at some later time."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return kept
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:

@@ -1,13 +1,17 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
+from .debruijn import op5_debruijn
 from .pieces import op6_sentencepiece
 from .sstable import op4_sstable
+from .suffix_array import op8_suffix_array
 from .token_counts import op7_token_counts
 
 QUERIES = {
     "op4_sstable": op4_sstable,
+    "op5_debruijn": op5_debruijn,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
+    "op8_suffix_array": op8_suffix_array,
 }
 
 SQL: dict[str, str] = {}
