@@ -2,6 +2,7 @@
 
 from .debruijn import op5_debruijn
 from .pieces import op6_sentencepiece
+from .simhash import op9_simhash
 from .sstable import op4_sstable
 from .suffix_array import op8_suffix_array
 from .token_counts import op7_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
     "op8_suffix_array": op8_suffix_array,
+    "op9_simhash": op9_simhash,
 }
 
 SQL: dict[str, str] = {}
