@@ -1,5 +1,6 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
+from .balanced import op3_balanced
 from .debruijn import op5_debruijn
 from .pieces import op6_sentencepiece
 from .simhash import op9_simhash
@@ -8,6 +9,7 @@ from .suffix_array import op8_suffix_array
 from .token_counts import op7_token_counts
 
 QUERIES = {
+    "op3_balanced": op3_balanced,
     "op4_sstable": op4_sstable,
     "op5_debruijn": op5_debruijn,
     "op6_sentencepiece": op6_sentencepiece,
