@@ -1,14 +1,20 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
+from . import quality_rules
 from .balanced import op3_balanced
+from .classifier import op10_classifier
 from .debruijn import op5_debruijn
+from .media import op1_media
 from .pieces import op6_sentencepiece
+from .quality_rules import op2_quality_rules
 from .simhash import op9_simhash
 from .sstable import op4_sstable
 from .suffix_array import op8_suffix_array
 from .token_counts import op7_token_counts
 
 QUERIES = {
+    "op1_media": op1_media,
+    "op2_quality_rules": op2_quality_rules,
     "op3_balanced": op3_balanced,
     "op4_sstable": op4_sstable,
     "op5_debruijn": op5_debruijn,
@@ -16,6 +22,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_suffix_array": op8_suffix_array,
     "op9_simhash": op9_simhash,
+    "op10_classifier": op10_classifier,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_quality_rules": quality_rules.sql()}

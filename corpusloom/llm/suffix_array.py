@@ -238,6 +238,34 @@ def resolve(snippets: DataFrame, unit: repeats.Unit) -> DataFrame:
     return few.unionByName(repeats.resolve_by_windows(repeats.windows(snippets.where(F.col("n") > LARGEST), unit)))
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with all their columns, the text without the bytes that a repeated string covers, as UTF-8.
+
+    Removal can cut a character in two; what is left of one is removed as well.  A null text stays null.
+    ``n_chars``, where it is a column, is the new text's."""
+    keyed = repeats.keyed(docs)
+    found = repeats.marks(keyed, repeats.Bytes(gram, length), resolve).select(F.col("row").alias("__row"), F.col("version").alias("__version"), "stretches")
+    text = F.coalesce(docs["text"], F.lit(""))
+    joined = docs.join(found, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__row")) & (F.xxhash64(text) == F.col("__version")), "left")
+    joined = joined.select(*(docs[c] for c in docs.columns), F.col("stretches").alias("__stretches"))
+    place, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for batch in common.byte_batches(batches, repeats.BATCH_BYTES):
+            texts = common.as_bytes(batch.column(place))
+            for i, stretches in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if stretches:
+                    gone = repeats.covered(stretches, len(texts[i]))
+                    texts[i] = np.frombuffer(texts[i], np.uint8)[~gone].tobytes().decode(errors="ignore").encode()
+            columns = batch.columns[:-1]
+            columns[place] = pa.array([None if t is None else t.decode() for t in texts], batch.schema.field(place).type)
+            if count is not None:
+                columns[count] = pa.array([None if t is None else len(t.decode()) for t in texts], pa.int64()).cast(batch.schema.field(count).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(len(columns))]))
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
