@@ -56,7 +56,7 @@ def byte_batches(batches, limit: int, column: str = "text"):
         if not batch.num_rows:
             continue
         text = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.binary_length(text).to_pylist()
+        sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if i > start and total + size > limit:
@@ -90,12 +90,13 @@ class TwoGenerations:
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def fill(self, keys, compute) -> dict:
-        """A dict that holds every key: ``compute`` gets the list of the unknown ones and returns their values."""
+    def fill(self, rows: list[list], longest: int, compute) -> dict:
+        """A dict that holds every key of ``rows`` of at most ``longest`` symbols: ``compute`` gets the list of
+        the unknown ones and returns their values."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young = self.young
-        missing = [k for k in set(keys) if k not in young]
+        missing = [k for k in set().union(*rows).difference(young) if len(k) <= longest]
         if missing:
             old, unknown = self.old, []
             for k in missing:

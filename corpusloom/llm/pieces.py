@@ -214,7 +214,7 @@ class Codec:
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
         """Of each text: ids with the end id, sha256 of the decimal ids, of the decoded text, crc32 of the spans."""
         units = self.units(texts)
-        memo = self.memo.fill((k for keys in units if keys for k in keys if len(k) <= UNIT), self.rate)
+        memo = self.memo.fill([keys for keys in units if keys], UNIT, self.rate)
         out = []
         tail = str(self.eos).encode()
         for text, keys in zip(texts, units, strict=True):

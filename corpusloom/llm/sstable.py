@@ -16,10 +16,12 @@ restarts and a scan of at most 16 entries.
 
 from __future__ import annotations
 
+import array
 import bisect
 import functools
 import os
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -40,8 +42,10 @@ BLOOM_BITS, BLOOM_PROBES = 10, 7
 BATCH_BYTES = 1 << 20
 #: Documents of a shard on average; shards are the unit of writing, reading and recovery.
 DOCUMENTS_PER_SHARD = 8192
-MEMO = 150_000
+MEMO = 400_000
 WORD = 64
+#: After letters these begin a pre-token of their own (an apostrophe may not, and < may begin a special string).
+PUNCTUATION = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -216,6 +220,11 @@ def opened(path: str):
     return Table(fs.open_input_file(name), fs.get_file_info(name).size)
 
 
+def letters(word: str) -> bool:
+    """Letters only, also when normalised: then the word is one pre-token."""
+    return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+
+
 class Encoder:
     """Ids of texts as little-endian bytes of a fixed width, an end id after each text.
 
@@ -232,25 +241,59 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
+        self.code = "H" if self.width == 2 else "I"
         self.by_word = "word_bpe" in name
+        self.ends_word = np.zeros(1 << 8 * self.width if self.width == 2 else self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
         self.memo = common.TwoGenerations(MEMO)
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters are encoded many at a time, with spaces between: the token that ends a word tells
+        them apart.  Punctuation after the letters is a pre-token of its own.  Other words go one by one."""
+        plain, mixed = [], []
+        for word in words:
+            (plain if word.isalpha() else mixed).append(word)
+        cut = {}
+        for word in mixed:
+            core = word.rstrip(PUNCTUATION)
+            if not (core.isalpha() or letters(core.decode())):
+                core = b""
+            cut[word] = core, word[len(core) :]
+        plain += {core for core, _ in cut.values()}.difference(plain, (b"",))
+        found = {b"": b""}
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stops) == len(part):
+                data, stops = ids.tobytes(), (stops * self.width).tolist()
+                found.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+            else:
+                found.update(zip(part, self._ids(part), strict=True))
+        rests = list({rest for _, rest in cut.values()}.difference((b"",)))
+        ends = dict(zip(rests, self._ids(rests), strict=True)) | {b"": b""}
+        return [found[w] if w not in cut else found[cut[w][0]] + ends[cut[w][1]] for w in words]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return [ids + self.end for ids in self._ids(texts)]
         split = [text.split() for text in texts]
-        memo = self.memo.fill((w for words in split for w in words if len(w) <= WORD), self._ids)
+        known = self.memo.young.get
+        rows = [list(map(known, words)) for words in split]
+        gaps = [[w for w, ids in zip(words, row, strict=True) if ids is None] if None in row else [] for words, row in zip(split, rows, strict=True)]
+        memo = self.memo.fill(gaps, WORD, self._words)
         out = []
-        for words in split:
-            try:
-                out.append(b"".join([memo[w] for w in words]) + self.end)
-            except KeyError:  # long words
-                rest = [w for w in words if len(w) > WORD]
-                own = dict(zip(rest, self._ids(rest), strict=True))
-                out.append(b"".join([own[w] if len(w) > WORD else memo[w] for w in words]) + self.end)
+        for row, gap in zip(rows, gaps, strict=True):
+            if gap:
+                long = [w for w in gap if len(w) > WORD]
+                own = dict(zip(long, self._ids(long), strict=True)) if long else {}
+                found = iter([own[w] if w in own else memo[w] for w in gap])
+                row = [next(found) if ids is None else ids for ids in row]
+            out.append(b"".join(row) + self.end)
         return out
 
 

@@ -51,7 +51,7 @@ class Counter:
         if not self.pieces:
             return self.whole(texts)
         split = [text.split(" ") for text in texts]
-        known = self.memo.fill((w for words in split for w in words[1:] if len(w) <= PIECE), self._rate)
+        known = self.memo.fill(split, PIECE, self._rate)
         out = [0] * len(texts)
         slow, owner = [], []
         for i, words in enumerate(split):
