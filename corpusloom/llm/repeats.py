@@ -209,6 +209,64 @@ def windows(snippets: DataFrame, unit: Unit) -> DataFrame:
     return snippets.select("anchor", "content", "copies", "spot", "symbols").mapInArrow(run, WINDOWS)
 
 
+#: Windows of a piece.
+PIECE = 9
+
+
+def pieces(snippets: DataFrame, unit: Unit, symbols: bool) -> DataFrame:
+    """Snippets in pieces of a few windows each: (anchor, content, at, n, copies, piece, core), or with ``symbols`` the
+    pieces as snippets of their own.  ``piece`` is the hash of all symbols of its windows, ``core`` that of
+    the symbols that all windows of a whole piece share, both with the place."""
+    names = ("anchor", "content", "at") + (("n", "copies", "spot", "symbols") if symbols else ("n", "copies", "piece", "core"))
+    schema = pa.schema([(c, pa.binary() if c == "symbols" else pa.int64()) for c in names])
+    kind = unit.symbols(b"").dtype
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2048):
+                part = batch.slice(low, 2048)
+                anchor, content, copies, spot = (part.column(i).to_numpy() for i in (0, 1, 2, 3))
+                data = part.column(4).to_pylist()
+                _, n, rel = unpacked(spot)
+                # bounds between pieces are at multiples of PIECE from the anchor, in all contents
+                many = rel // PIECE - (rel - n + 1) // PIECE + 1
+                which = np.repeat(np.arange(len(n)), many)
+                slot = rel[which] // PIECE - (np.arange(many.sum()) - (np.cumsum(many) - many)[which])
+                place = np.minimum(rel[which], slot * PIECE + PIECE - 1)
+                at = rel[which] - place
+                size = place - np.maximum((rel - n + 1)[which], slot * PIECE) + 1
+                if symbols:
+                    wide = kind.itemsize
+                    cut = [data[w][a * wide : (a + s + unit.span - 1) * wide] for w, a, s in zip(which.tolist(), at.tolist(), size.tolist(), strict=True)]
+                    yield common.record(schema, pa.array(anchor[which]), pa.array(content[which]), pa.array(at), pa.array(size), pa.array(copies[which]), pa.array(packed(0, size, place)), cut)
+                else:
+                    rolling = anchors.Rolling(unit.codes(np.frombuffer(b"".join(data), kind)), anchors.BASES[2])
+                    begin = (np.cumsum(n + unit.span - 1) - (n + unit.span - 1))[which]
+                    first, middle = begin + at, begin + rel[which] - slot * PIECE
+                    piece = anchors.mixed(rolling.of(first, first + size + unit.span - 1) ^ anchors.mixed((place << 12 | size).astype(np.uint64))).view(np.int64)
+                    core = anchors.mixed(rolling.of(middle, middle + unit.span - PIECE + 1) ^ anchors.mixed(slot.astype(np.uint64))).view(np.int64)
+                    yield common.record(schema, *map(pa.array, (anchor[which], content[which], at, size, copies[which], piece, core)))
+
+    return snippets.select("anchor", "content", "copies", "spot", "symbols").mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'symbols' else 'long'}" for c in names))
+
+
+def resolve_by_pieces(snippets: DataFrame, unit: Unit) -> DataFrame:
+    """As ``resolve_by_windows``, for anchors with many contents most of whose windows stand nowhere else.
+
+    Equal pieces become one first.  A piece that occurs twice repeats as a whole; one whose core occurs
+    in no other piece has no window elsewhere; only what is left is looked at by windows."""
+    rows = pieces(snippets, unit, False)
+    distinct = common.cut(rows.groupBy("anchor", "piece").agg(F.sum("copies").alias("copies"), F.min(F.struct("content", "at")).alias("source"), F.min("core").alias("core")))
+    several = common.cut(distinct.groupBy("anchor", "core").count().where("count > 1").select("anchor", "core"))
+    open_ = distinct.join(several, ["anchor", "core"]).select("anchor", "piece", F.col("copies").alias("all"), "source.content", "source.at")
+    shown = pieces(snippets, unit, True).join(open_, ["anchor", "content", "at"]).select("anchor", "n", F.col("piece").alias("content"), F.col("all").alias("copies"), "spot", "symbols")
+    some = resolve_by_windows(windows(common.cut(shown), unit)).withColumnRenamed("content", "piece")
+    whole = distinct.where("copies > 1").select("anchor", "piece", F.lit(None).cast("array<array<long>>").alias("stretches"))
+    marked = common.cut(whole.unionByName(some.join(whole.select("anchor", "piece"), ["anchor", "piece"], "left_anti")))
+    found = rows.join(marked, ["anchor", "piece"]).select("anchor", "content", F.when(F.col("stretches").isNull(), F.array(F.array(F.col("at"), F.col("at") + F.col("n")))).otherwise(F.transform("stretches", lambda x: F.array(F.col("at") + x[0], F.col("at") + x[1]))).alias("s"))
+    return found.groupBy("anchor", "content").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("stretches"))
+
+
 def covered(stretches, size: int) -> np.ndarray:
     """Mask of the symbols that the stretches cover."""
     delta = np.zeros(size + 1, np.int32)

@@ -27,7 +27,7 @@ from . import common, repeats
 LENGTH = 200
 #: Bytes of an anchor. Windows of 200 bytes hold 141 of them, a run is 71 windows long on average.
 GRAM = 60
-#: Anchors with more runs than this don't go to one task as a whole: their windows are counted instead.
+#: Anchors with more runs than this don't go to one task as a whole: their pieces and windows are counted instead.
 LARGEST = 512
 
 
@@ -207,7 +207,7 @@ RESOLVED = "anchor long, content long, stretches array<array<long>>"
 
 def resolve(snippets: DataFrame, unit: repeats.Unit) -> DataFrame:
     """Anchors with up to LARGEST runs by suffix arrays, one anchor's in one task; the others, whose
-    runs may be a large part of the corpus, by counting their windows, spread over all tasks."""
+    runs may be a large part of the corpus, by counting pieces and windows, spread over all tasks."""
     schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("stretches", pa.list_(pa.list_(pa.int64())))])
 
     def classes(batches):
@@ -235,7 +235,7 @@ def resolve(snippets: DataFrame, unit: repeats.Unit) -> DataFrame:
 
     few = snippets.where(F.col("n") <= LARGEST).select("anchor", "content", "copies", "spot", "symbols")
     few = few.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(classes, RESOLVED)
-    return few.unionByName(repeats.resolve_by_windows(repeats.windows(snippets.where(F.col("n") > LARGEST), unit)))
+    return few.unionByName(repeats.resolve_by_pieces(snippets.where(F.col("n") > LARGEST), unit))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
