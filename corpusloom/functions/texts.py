@@ -34,7 +34,7 @@ def is_reply(in_reply_to: Column, subject: Column) -> Column:
 
 def header(headers: Column, name: str) -> Column:
     """First value of a header map (name -> values), whatever its case."""
-    return F.element_at(F.element_at(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name.lower()), 1)["value"], 1)
+    return F.get(F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name.lower()), F.lit(0))["value"], F.lit(0))
 
 
 def is_automated_origin(sender: Column, headers: Column) -> Column:
