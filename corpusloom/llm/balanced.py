@@ -11,6 +11,8 @@ trying all outcomes.  Moves are drawn from hashes of the documents, so reruns ag
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -54,9 +56,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return rows.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def moved(doc: int, salt: int) -> float:
-    """In [0, 1), from the document's hash."""
-    return (xxhash.xxh64_intdigest((doc & (1 << 64) - 1).to_bytes(8, "little"), salt) >> 11) / (1 << 53)
+def drawn(keys: tuple[int, int, int], salt: int) -> float:
+    """In [0, 1), from the keys of the three documents that are to move."""
+    return (xxhash.xxh64_intdigest(struct.pack("<3q", *keys), salt) >> 11) / (1 << 53)
 
 
 def flight(rows: list[list], salt: int) -> tuple[list[list], list[list]]:
@@ -69,7 +71,7 @@ def flight(rows: list[list], salt: int) -> tuple[list[list], list[list]]:
     for row in rows:
         live.append(row)
         while len(live) == 3:
-            (ka, za, pa_), (_, zb, pb), (_, zc, pc) = live
+            (ka, za, pa_), (kb, zb, pb), (kc, zc, pc) = live
             ua, ub, uc = zc - zb, za - zc, zb - za  # orthogonal to (1, 1, 1) and to the sizes
             if not (ua or ub or uc):
                 ua, ub, uc = 1, -1, 0
@@ -79,7 +81,7 @@ def flight(rows: list[list], salt: int) -> tuple[list[list], list[list]]:
                     up, down = min(up, (1 - p) / u), min(down, p / u)
                 elif u < 0:
                     up, down = min(up, p / -u), min(down, (1 - p) / -u)
-            step = up if moved(ka, salt) * (up + down) < down else -down
+            step = up if drawn((ka, kb, kc), salt) * (up + down) < down else -down
             kept = []
             for r, u in zip(live, (ua, ub, uc), strict=True):
                 p = r[2] = r[2] + step * u
@@ -188,11 +190,13 @@ def fly(live: DataFrame, salt: int, landing: bool) -> DataFrame:
 
 def take(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
-    mixed = mix(docs, **how).groupBy("doc_id", "version").agg(F.max("copies").alias("__copies"))
-    mixed = mixed.where("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "__copies")
+    mixed = mix(docs, **how).groupBy("doc_id", "version", "source").agg(F.max("copies").alias("__copies"))
+    mixed = mixed.where("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("source").alias("__from"), "__copies")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__version"))
+    same = same & docs["source"].cast("string").eqNullSafe(F.col("__from"))
     columns = [docs[c] for c in docs.columns]
-    return docs.join(common.cut(mixed), same).select(*columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(*columns)
+    copies = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")
+    return docs.join(common.cut(mixed), same).select(*columns, copies).drop("__copy")
 
 
 def op3_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 from .quality_rules import repeated_words
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Most labelled rows that are used in training, those of the smallest hash of doc_id.
 SAMPLE = 20_000
 BINS = 32
@@ -234,7 +234,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
                 scores = model.scores(np.array([features(t or b"") for t in common.as_bytes(batch.column(place))]))
                 yield batch.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common, jpeg
 
 UNIT = 576
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 
 def padded(text: bytes) -> bytes:

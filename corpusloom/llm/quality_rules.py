@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 SPAN = 8
 #: (name, numerator, denominator, least quartile range in thousandths, has a lower fence)
 RULES = (
@@ -92,6 +92,7 @@ def measured(docs: DataFrame) -> DataFrame:
         for batch in common.byte_batches(batches, BATCH_BYTES):
             yield common.record(schema, *batch.columns[:3], *map(list, zip(*map(measures, common.as_bytes(batch.column(3))), strict=True)))
 
+    docs = common.bounded(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in NAMES))
 

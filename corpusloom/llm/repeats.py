@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from . import anchors, common
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 #: Sequences longer than this are cut into overlapping parts. A cut only makes more runs.
-PART = 1 << 20
+PART = 1 << 18
 
 
 class Bytes:

@@ -24,7 +24,7 @@ SHINGLE = 3
 DISTANCE = 3
 SEGMENTS = 8
 BITS = 64 // SEGMENTS
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Larger buckets are cut into blocks of this size.
 BUCKET = 4096
 
@@ -42,8 +42,8 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip([0, *(e + 1 for e in ends)], ends[words - 1 :], strict=False)]
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], np.uint64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = np.array(hashes[at : at + (1 << 14)], np.uint64)
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 

@@ -20,6 +20,7 @@ import array
 import bisect
 import functools
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -42,8 +43,10 @@ BLOOM_BITS, BLOOM_PROBES = 10, 7
 BATCH_BYTES = 1 << 20
 #: Documents of a shard on average; shards are the unit of writing, reading and recovery.
 DOCUMENTS_PER_SHARD = 8192
-MEMO = 400_000
+MEMO = 700_000
 WORD = 64
+#: Words whose lower case and composed form are beyond doubt: Latin letters but for one that has two in lower case.
+SIMPLE = re.compile("[a-zA-Z\u00c0-\u012f\u0131-\u024f ]*")
 #: After letters these begin a pre-token of their own (an apostrophe may not, and < may begin a special string).
 PUNCTUATION = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
@@ -225,6 +228,38 @@ def letters(word: str) -> bool:
     return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
 
 
+class Known(dict):
+    """A bounded memo of words' ids that answers at once: an unknown word gets an empty bytearray, which
+    ``settle`` fills in place once its ids are known, so rows of answers need no second look."""
+
+    def __init__(self, limit: int, longest: int):
+        super().__init__()
+        self.limit, self.longest, self.old, self.unknown = limit, longest, {}, {}
+
+    def turn(self) -> None:
+        """Between batches: what wasn't asked for since the memo last filled up goes."""
+        self.unknown = {}
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: bytes):
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.unknown.get(word)
+            if ids is None:
+                ids = self.unknown[word] = bytearray()
+            if len(word) > self.longest:
+                return ids  # every time anew
+        self[word] = ids
+        return ids
+
+    def settle(self, word: bytes, ids: bytes) -> None:
+        self.unknown[word] += ids
+        if len(word) <= self.longest:
+            self[word] = ids
+
+
 class Encoder:
     """Ids of texts as little-endian bytes of a fixed width, an end id after each text.
 
@@ -234,7 +269,7 @@ class Encoder:
 
     def __init__(self, name: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(common.tokenizer_path(name))
         self.tokenizer.no_truncation()
@@ -246,7 +281,10 @@ class Encoder:
         self.ends_word = np.zeros(1 << 8 * self.width if self.width == 2 else self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
-        self.memo = common.TwoGenerations(MEMO)
+        #: The same model for words in lower case: without the normaliser and the patterns, which do nothing there.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known = Known(MEMO, WORD)
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
@@ -267,7 +305,9 @@ class Encoder:
         found = {b"": b""}
         for at in range(0, len(plain), 1000):
             part = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            text = b" ".join(part).decode()
+            simple = SIMPLE.fullmatch(text) is not None
+            ids = np.array((self.bare if simple else self.tokenizer).encode_batch_fast([text.lower() if simple else text], add_special_tokens=False)[0].ids, f"<u{self.width}")
             stops = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stops) == len(part):
                 data, stops = ids.tobytes(), (stops * self.width).tolist()
@@ -281,20 +321,12 @@ class Encoder:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return [ids + self.end for ids in self._ids(texts)]
-        split = [text.split() for text in texts]
-        known = self.memo.young.get
-        rows = [list(map(known, words)) for words in split]
-        gaps = [[w for w, ids in zip(words, row, strict=True) if ids is None] if None in row else [] for words, row in zip(split, rows, strict=True)]
-        memo = self.memo.fill(gaps, WORD, self._words)
-        out = []
-        for row, gap in zip(rows, gaps, strict=True):
-            if gap:
-                long = [w for w in gap if len(w) > WORD]
-                own = dict(zip(long, self._ids(long), strict=True)) if long else {}
-                found = iter([own[w] if w in own else memo[w] for w in gap])
-                row = [next(found) if ids is None else ids for ids in row]
-            out.append(b"".join(row) + self.end)
-        return out
+        self.known.turn()
+        look = self.known.__getitem__
+        rows = [list(map(look, text.split())) for text in texts]
+        for word, ids in zip(self.known.unknown, self._words(list(self.known.unknown)), strict=True):
+            self.known.settle(word, ids)
+        return [b"".join(row) + self.end for row in rows]
 
 
 @functools.lru_cache(maxsize=2)

@@ -244,10 +244,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     Removal can cut a character in two; what is left of one is removed as well.  A null text stays null.
     ``n_chars``, where it is a column, is the new text's."""
     keyed = repeats.keyed(docs)
-    found = repeats.marks(keyed, repeats.Bytes(gram, length), resolve).select(F.col("row").alias("__row"), F.col("version").alias("__version"), "stretches")
+    found = repeats.marks(keyed, repeats.Bytes(gram, length), resolve).select(F.col("row").alias("__row"), F.col("version").alias("__version"), F.col("stretches").alias("__stretches"))
     text = F.coalesce(docs["text"], F.lit(""))
     joined = docs.join(found, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__row")) & (F.xxhash64(text) == F.col("__version")), "left")
-    joined = joined.select(*(docs[c] for c in docs.columns), F.col("stretches").alias("__stretches"))
+    joined = joined.select(*(docs[c] for c in docs.columns), "__stretches")
     place, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
