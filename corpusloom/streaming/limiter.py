@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "key string, ts double, allowed boolean, retry_after double"
+STATE = "times array<double>, until double"
 
 
 def decide(state: tuple[list[float], float], at: float, limit: int, window: float, base: float, most: float) -> tuple[tuple[list[float], float], bool, float]:
@@ -23,31 +24,24 @@ def decide(state: tuple[list[float], float], at: float, limit: int, window: floa
     return (times, at + wait), False, wait
 
 
-class Limiter(StatefulProcessor):
-    """Of each key: times within the window and the end of its lockout; both go when nothing came for a while."""
-
-    def __init__(self, limit: int, window: float, base: float, most: float):
-        self.settings = limit, window, base, most
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = int(1000 * (self.settings[1] + self.settings[3]))
-        self.times = handle.getListState("times", "at double", ttlDurationMs=ttl)
-        self.until = handle.getValueState("until", "at double", ttlDurationMs=ttl)
-
-    def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = [t[0] for t in self.times.get()] if self.times.exists() else [], self.until.get()[0] if self.until.exists() else 0.0
-        out = []
-        for at in sorted(t for frame in rows for t in frame["ts"].tolist()):
-            state, allowed, wait = decide(state, at, *self.settings)
+def limited(events: DataFrame, limit: int = 5, window: float = 60.0, base: float = 60.0, most: float = 900.0) -> DataFrame:
+    """(key, ts, allowed, retry_after) of a stream of attempts (key string, ts seconds as double).
+
+    State of a key: its times within the window and the end of its lockout; it goes when nothing came
+    for as long as either could matter."""
+    idle = int(1000 * (window + most))
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times, until = state.get if state.exists else ([], 0.0)
+        now, out = (list(times), until), []
+        for at in sorted(t for frame in frames for t in frame["ts"].tolist()):
+            now, allowed, wait = decide(now, at, limit, window, base, most)
             out.append((key[0], at, allowed, wait))
-        self.times.put([(t,) for t in state[0]])
-        self.until.update((state[1],))
+        state.update((now[0], now[1]))
+        state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["key", "ts", "allowed", "retry_after"])
 
-    def close(self) -> None:
-        pass
-
-
-def limited(events: DataFrame, limit: int = 5, window: float = 60.0, base: float = 60.0, most: float = 900.0) -> DataFrame:
-    """(key, ts, allowed, retry_after) of a stream of attempts (key string, ts seconds as double)."""
-    return events.groupBy("key").transformWithStateInPandas(Limiter(limit, window, base, most), OUTPUT, "Append", "ProcessingTime")
+    return events.groupBy("key").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
