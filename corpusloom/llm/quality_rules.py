@@ -22,7 +22,7 @@ SPAN = 8
 RULES = (
     ("symbols", "n_symbols", "n_words", 30, False),
     ("repeats", "n_repeat_words", "n_words", 90, False),
-    ("lines", "n_dup_lines", "n_lines", 100, False),
+    ("lines", "n_dup_lines", "n_lines", 200, False),
     ("capitals", "n_capitals", "word_chars", 50, False),
     ("length", "word_chars", "n_words", 1000, True),
 )
