@@ -111,14 +111,17 @@ def marks(keyed_docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame, Unit]
 
     ``resolve`` gets the distinct contents of branching anchors (anchor, n, content, copies, spot, and the
     run's symbols as binary; n: the anchor's runs in all) and returns (anchor, content, stretches of
-    window numbers in the run)."""
+    window numbers in the run) of those that occur once: of the others all windows repeat."""
     span = unit.span
 
     def pairs(batches):
-        schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64())])
+        schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("draw", pa.int64())])
         for batch in common.byte_batches(batches, BATCH_BYTES):
-            for _, _, _, _, anchor, content in runs_of(unit, common.as_bytes(batch.column(0))):
-                yield common.record(schema, pa.array(anchor), pa.array(content))
+            row = batch.column(0).to_numpy().view(np.uint64)
+            for owner, start, _, _, anchor, content in runs_of(unit, common.as_bytes(batch.column(1))):
+                chance = anchors.mixed(row[owner] ^ anchors.mixed(start.astype(np.uint64)))
+                draw = (chance >> np.uint64(46)) << np.uint64(45) | (content.view(np.uint64) >> np.uint64(20)) << np.uint64(1) | chance & np.uint64(1)
+                yield common.record(schema, pa.array(anchor), pa.array(content), pa.array(draw.view(np.int64)))
 
     def full(batches):
         schema = pa.schema([(c, pa.int64()) for c in ("row", "version", "spot", "anchor", "content")])
@@ -127,25 +130,34 @@ def marks(keyed_docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame, Unit]
             for owner, start, n, rel, anchor, content in runs_of(unit, common.as_bytes(batch.column(2))):
                 yield common.record(schema, *map(pa.array, (row[owner], version[owner], packed(start, n, rel), anchor, content)))
 
+    # ``draw``: chance, 44 bits of the content, and a bit that parts the runs in two.  If the runs that are drawn
+    # from both parts have one content, it occurs twice, and its runs need no more looking at: a passage
+    # that a large part of the corpus holds is told here, without a join.
+    side = F.col("draw").bitwiseAND(1)
+    drawn = lambda c: F.shiftright(c, 1).bitwiseAND((1 << 44) - 1)
     found = (
-        keyed_docs.select("text")
-        .mapInArrow(pairs, "anchor long, content long")
+        keyed_docs.select("row", "text")
+        .mapInArrow(pairs, "anchor long, content long, draw long")
         .groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("least"), F.max("content").alias("most"), F.min(F.when(side == 0, F.col("draw"))).alias("even"), F.min(F.when(side == 1, F.col("draw"))).alias("odd"))
         .where("n > 1")
-        .select("anchor", "n", (F.col("least") != F.col("most")).alias("branching"))
+        .select("anchor", "n", (F.col("least") != F.col("most")).alias("branching"), F.when(drawn(F.col("even")) == drawn(F.col("odd")), drawn(F.col("even"))).alias("twice"))
     )
     shared = common.cut(found)
     occurrences = common.cut(keyed_docs.select("row", "version", "text").mapInArrow(full, "row long, version long, spot long, anchor long, content long").join(shared, "anchor"))
     branching = occurrences.where("branching")
-    sources = branching.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "version", "spot")).alias("source"), F.max("n").alias("n"))
-    sources = sources.select("anchor", "content", "n", "copies", "source.*").groupBy("row", "version").agg(F.collect_list(F.struct("anchor", "content", "n", "copies", "spot")).alias("wanted"))
+    contents = common.cut(branching.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "version", "spot")).alias("source"), F.max("n").alias("n")))
+    sources = contents.select("anchor", "content", "n", "copies", "source.*").groupBy("row", "version").agg(F.collect_list(F.struct("anchor", "content", "n", "copies", "spot")).alias("wanted"))
     snippets = common.cut(keyed_docs.select("row", "version", "text").join(sources, ["row", "version"]).select("text", "wanted").mapInArrow(_snippets(unit), SNIPPETS))
     resolved = common.cut(resolve(snippets, unit))
 
     start, n, _ = unpacked_columns("spot")
-    whole = occurrences.where("not branching").select("row", "version", F.array(F.array(start, start + n + F.lit(span - 1))).alias("stretches"))
-    some = branching.select("row", "version", "anchor", "content", start.alias("start")).join(resolved.withColumnRenamed("stretches", "windows"), ["anchor", "content"])
+    stretch = F.array(F.array(start, start + n + F.lit(span - 1))).alias("stretches")
+    told = F.coalesce(F.shiftrightunsigned("content", 20) == F.col("twice"), F.lit(False))
+    left = branching.where(~told)
+    copied = left.join(contents.where("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+    whole = occurrences.where(~F.col("branching") | told).unionByName(copied.select(*occurrences.columns)).select("row", "version", stretch)
+    some = left.select("row", "version", "anchor", "content", start.alias("start")).join(resolved.withColumnRenamed("stretches", "windows"), ["anchor", "content"])
     some = some.select("row", "version", F.transform("windows", lambda x: F.array(F.col("start") + x[0], F.col("start") + x[1] + F.lit(span - 1))).alias("stretches"))
     return whole.unionByName(some).groupBy("row", "version").agg(F.flatten(F.collect_set("stretches")).alias("stretches"))
 
@@ -156,11 +168,12 @@ def unpacked_columns(name: str) -> tuple[Column, Column, Column]:
 
 
 def resolve_by_windows(rows: DataFrame) -> DataFrame:
-    """(anchor, content, stretches) from windows (anchor, place, hash, content, window, copies): a window
-    repeats if its copies, over all contents of its anchor with it at the same place, are two or more."""
+    """(anchor, content, stretches) of contents that occur once, from windows (anchor, place, hash, content,
+    window, copies) of all: a window repeats if its copies, over all contents of its anchor with it at
+    the same place, are two or more."""
     key = ["anchor", "place", "hash"]
     twice = common.cut(rows.groupBy(*key).agg(F.sum("copies").alias("copies")).where("copies > 1").select(*key))
-    kept = rows.select(*key, "content", "window").join(twice, key).groupBy("anchor", "content").agg(F.sort_array(F.collect_list("window")).alias("w"))
+    kept = rows.where("copies = 1").select(*key, "content", "window").join(twice, key).groupBy("anchor", "content").agg(F.sort_array(F.collect_list("window")).alias("w"))
     return kept.select("anchor", "content", F.transform("w", lambda x: F.array(x, x + F.lit(1).cast("long"))).alias("stretches"))
 
 
@@ -263,7 +276,7 @@ def resolve_by_pieces(snippets: DataFrame, unit: Unit) -> DataFrame:
     some = resolve_by_windows(windows(common.cut(shown), unit)).withColumnRenamed("content", "piece")
     whole = distinct.where("copies > 1").select("anchor", "piece", F.lit(None).cast("array<array<long>>").alias("stretches"))
     marked = common.cut(whole.unionByName(some.join(whole.select("anchor", "piece"), ["anchor", "piece"], "left_anti")))
-    found = rows.join(marked, ["anchor", "piece"]).select("anchor", "content", F.when(F.col("stretches").isNull(), F.array(F.array(F.col("at"), F.col("at") + F.col("n")))).otherwise(F.transform("stretches", lambda x: F.array(F.col("at") + x[0], F.col("at") + x[1]))).alias("s"))
+    found = rows.where("copies = 1").join(marked, ["anchor", "piece"]).select("anchor", "content", F.when(F.col("stretches").isNull(), F.array(F.array(F.col("at"), F.col("at") + F.col("n")))).otherwise(F.transform("stretches", lambda x: F.array(F.col("at") + x[0], F.col("at") + x[1]))).alias("s"))
     return found.groupBy("anchor", "content").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("stretches"))
 
 

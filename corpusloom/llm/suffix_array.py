@@ -136,13 +136,13 @@ def common_prefixes(text: list[int], order: list[int], rank: list[int]) -> list[
     return out
 
 
-def repeats_of_class(contents: list[np.ndarray], rel: list[int], copies: list[int], length: int) -> list[list[list[int]]]:
-    """For each of an anchor's distinct contents, stretches [first, end) of windows that also stand elsewhere.
+def repeats_of_class(contents: list[np.ndarray], rel: list[int], length: int) -> list[list[list[int]]]:
+    """For each of an anchor's distinct contents, stretches [first, end) of windows that other ones hold as well.
 
-    ``rel`` is the anchor's place in each content, ``copies`` how often the corpus has the content."""
+    ``rel`` is the anchor's place in each content."""
     m, place = len(contents), max(rel)
     if m == 1:
-        return [[[0, len(contents[0]) - length + 1]] if copies[0] > 1 else []]
+        return [[]]
     width = max(place - r + len(c) for c, r in zip(contents, rel, strict=True))
     grid = np.repeat(np.arange(256, 256 + m, dtype=np.int32)[:, None], width, 1)  # outside of the contents all differ
     for i, (c, r) in enumerate(zip(contents, rel, strict=True)):
@@ -196,9 +196,6 @@ def repeats_of_class(contents: list[np.ndarray], rel: list[int], copies: list[in
                         found[i][-1][1] = max(found[i][-1][1], end)
                     else:
                         found[i].append([begin, end])
-    for i in range(m):
-        if copies[i] > 1:
-            found[i] = [[0, len(contents[i]) - length + 1]]
     return found
 
 
@@ -215,8 +212,8 @@ def resolve(snippets: DataFrame, unit: repeats.Unit) -> DataFrame:
 
         def flush():
             _, _, rel = zip(*(repeats.unpacked(x["spot"]) for x in held), strict=True)
-            found = repeats_of_class([np.frombuffer(x["symbols"], np.uint8) for x in held], rel, [x["copies"] for x in held], unit.span)
-            return [(x["anchor"], x["content"], s) for x, s in zip(held, found, strict=True) if s]
+            found = repeats_of_class([np.frombuffer(x["symbols"], np.uint8) for x in held], rel, unit.span)
+            return [(x["anchor"], x["content"], s) for x, s in zip(held, found, strict=True) if s and x["copies"] == 1]
 
         out = []
         for batch in batches:
