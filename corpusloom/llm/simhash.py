@@ -29,25 +29,33 @@ BATCH_BYTES = 1 << 19
 BUCKET = 4096
 
 
-def fingerprint(text: bytes, words: int = SHINGLE) -> int:
-    """Of lower-cased (A-Z) words and their shingles, repeats included; 0 without words."""
+def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """Hashes of lower-cased (A-Z) words' shingles, repeats included; all words are one where there are fewer."""
     found = text.lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
+    digest = xxhash.xxh64_intdigest
     if len(found) < words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = (np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip([0, *(e + 1 for e in ends)], ends[words - 1 :], strict=False)]
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = (np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1).tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip([0, *(e + 1 for e in ends)], ends[words - 1 :], strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[at : at + (1 << 14)], np.uint64)
+        part = hashes[at : at + (1 << 14)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, words: int = SHINGLE) -> int:
+    """Of lower-cased (A-Z) words and their shingles, repeats included; 0 without words."""
+    return majority(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, version, fp) of every row; ``version`` is the text's hash, ``fp`` the fingerprint as signed long."""
     schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("fp", pa.int64())])
@@ -229,6 +237,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     and of the smallest text hash among equal identifiers."""
     prints = common.cut(fingerprints(docs))
     named = prints.join(component_of(prints.select("doc_id", "fp")), "fp").select("root", F.col("doc_id").isNull().alias("last"), "doc_id", "version")
+    return first_rows(docs, prints, named)
+
+
+def first_rows(docs: DataFrame, prints: DataFrame, named: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the least (last, doc_id, version) of each ``root`` of ``named``; ``prints`` has (doc_id, version) of every row."""
     keepers = named.groupBy("root").agg(F.min(F.struct("last", "doc_id", "version")).alias("keep"))
     keepers = keepers.select(F.col("keep.doc_id").alias("__id"), F.col("keep.version").alias("__version"))
     copies = prints.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("__rows")).select(F.col("doc_id").alias("__own"), F.col("version").alias("__v"), "__rows")
