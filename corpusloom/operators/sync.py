@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def start_uid(folders: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -44,19 +46,27 @@ def byte_batches(messages: DataFrame, keys: list[str], budget: int, uid: str = "
     """(keys, uid, size, batch): greedy batches in the order of ``uid``, closed before the one that would pass the
     budget, with one message at least; an unknown size counts as the whole budget.
 
-    Which batch a message is in depends on all before it in its folder, so a folder is folded in order."""
-    cost = F.coalesce(F.col(size), F.lit(budget)).cast("long")
-    listed = messages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(uid).cast("long").alias("u"), cost.alias("c"), F.col(size).cast("long").alias("s")))).alias("__all"))
-    empty = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<u:bigint,s:bigint,batch:bigint>>").alias("out"))
-
-    def step(state, m):
-        fits = (state["sum"] + m["c"] <= budget) | (state["sum"] == 0)
-        batch = F.when(fits, state["batch"]).otherwise(state["batch"] + 1)
-        total = F.when(fits, state["sum"] + m["c"]).otherwise(m["c"])
-        return F.struct(batch.alias("batch"), total.alias("sum"), F.concat(state["out"], F.array(F.struct(m["u"].alias("u"), m["s"].alias("s"), batch.alias("batch")))).alias("out"))
-
-    folded = listed.withColumn("__m", F.explode(F.aggregate("__all", empty, step)["out"]))
-    return folded.select(*keys, F.col("__m.u").alias(uid), F.col("__m.s").alias(size), F.col("__m.batch").alias("batch"))
+    Which batch a message is in depends on all before it in its folder, so a folder's messages stream in
+    order past one running sum; no folder is held as a whole."""
+    rows = messages.select(*keys, F.col(uid).cast("long").alias(uid), F.col(size).cast("long").alias(size))
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+
+    def run(batches):
+        now, batch, total = None, 0, 0
+        for part in batches:
+            numbers = []
+            for *key, _, held in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                cost = budget if held is None else held
+                if key != now:
+                    now, batch, total = key, 0, 0
+                if total + cost <= budget or total == 0:
+                    total += cost
+                else:
+                    batch, total = batch + 1, cost
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(numbers, pa.int64())], names=[*part.schema.names, "batch"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, uid, F.coalesce(F.col(size), F.lit(budget)), size).mapInArrow(run, schema)
 
 
 def tally(outcomes: DataFrame, keys: list[str]) -> DataFrame:

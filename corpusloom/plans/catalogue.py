@@ -624,6 +624,12 @@ def byte_batches(spark, sf):
     return sync.byte_batches(m, ["folder"], 100)
 
 
+@query(None)
+def byte_batches_whole(spark, sf):
+    m = table(spark, sf, "events").select((F.col("user_id") % 10).alias("folder"), F.col("event_id").alias("uid"), F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 60).alias("size"))
+    return sync.byte_batches(m, ["folder"], 100)
+
+
 # resolution as aggregation
 
 
