@@ -666,10 +666,18 @@ def who_works_at(spark, sf):
 
 @query("SELECT c_custkey, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS BIGINT) AS sent, CAST((SELECT count(*) FROM lineitem WHERE l_suppkey = c_custkey) AS BIGINT) AS received, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS example FROM customer WHERE c_custkey <= 500")
 def person_activity(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey <= 500").select("c_custkey")
+    return _activity(spark, sf, table(spark, sf, "customer").where("c_custkey <= 500"))
+
+
+def _activity(spark, sf, persons):
     sent = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(N().alias("sent"), F.min("o_orderkey").alias("example"))
     got = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("c_custkey")).agg(N().alias("received"))
-    return c.join(sent, "c_custkey", "left").join(got, "c_custkey", "left").select("c_custkey", F.coalesce("sent", F.lit(0)).alias("sent"), F.coalesce("received", F.lit(0)).alias("received"), "example")
+    return persons.select("c_custkey").join(sent, "c_custkey", "left").join(got, "c_custkey", "left").select("c_custkey", F.coalesce("sent", F.lit(0)).alias("sent"), F.coalesce("received", F.lit(0)).alias("received"), "example")
+
+
+@query("SELECT c_custkey, coalesce(s.n, 0) AS sent, coalesce(g.n, 0) AS received, s.example FROM customer LEFT JOIN (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, min(o_orderkey) AS example FROM orders GROUP BY 1) s ON s.o_custkey = c_custkey LEFT JOIN (SELECT l_suppkey, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1) g ON g.l_suppkey = c_custkey")
+def person_activity_whole(spark, sf):
+    return _activity(spark, sf, table(spark, sf, "customer"))
 
 
 @query("SELECT n_name, CAST(count(DISTINCT o_custkey) AS BIGINT) AS people FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name ORDER BY people DESC, n_name LIMIT 10")
