@@ -179,6 +179,41 @@ def test_sketches_merge(spark):
     assert collected(quality_rules.merged(*parts), "lang", "source", "rule", "bucket", "n") == collected(whole, "lang", "source", "rule", "bucket", "n")
 
 
+def test_fences_follow_their_group(spark):
+    """Groups of one corpus have fences of their own, and a shift of one group's words moves its fence alone."""
+    import random
+
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(450)]
+
+    def rows(longer):
+        out = []
+        for k in range(480):
+            source, size = f"s{k % 3}", r.randint(60, 200)
+            extra = longer if source == "s1" else 0
+            words, ends = vocabulary[: 150 * (1 + k % 3)], ("",) * (2 + k % 3) + (",", ".")
+            out.append((k, " ".join(r.choice(words) + "x" * extra + r.choice(ends) for _ in range(size)), "en", source, 0, "r", 0, 0.5, "s", 0, "x"))
+        out.append((1000, " ".join("#$" * r.randint(1, 4) for _ in range(120)), "en", "s0", 0, "r", 0, 0.5, "s", 0, "x"))
+        out.append((1001, " ".join(r.choice(("aa", "bb", "cc", "dd", "ee")) for _ in range(150)), "en", "s2", 0, "r", 0, 0.5, "s", 0, "x"))
+        return out
+
+    found = []
+    for longer in (0, 6):
+        r.seed(7)
+        df = spark.createDataFrame(rows(longer), SCHEMA)
+        limits = {x["source"]: x.asDict() for x in quality_rules.fences(quality_rules.sketches(quality_rules.measured(df))).collect()}
+        broken = {x["doc_id"]: x["broken"] for x in quality_rules.judged(df).collect() if x["broken"]}
+        assert broken.keys() == {1000, 1001} and "marks" in broken[1000] and "sameness" in broken[1001]
+        for i in range(len(quality_rules.RULES)):
+            assert len({x[f"high_{i}"] for x in limits.values()}) > 1
+        found.append(limits)
+    name = "high_1"  # length
+    assert found[1]["s1"][name] > found[0]["s1"][name] + 3000
+    # the others move with the language's quartiles only
+    moved = {s: found[1][s][name] - found[0][s][name] for s in found[0]}
+    assert 3 * max(moved["s0"], moved["s2"]) < moved["s1"]
+
+
 def test_repeated_words():
     for words in ([], list("abcdefgh"), list("abcdefghabcdefgh"), ["a"] * 20, list("abcdefghi" + "x" + "abcdefghi")):
         windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
