@@ -76,10 +76,11 @@ def _has_phrase(local: Column) -> Column:
 
 def is_role(address: Column) -> Column:
     """A functional mailbox: its local part, a token of it between - _ +, or for machine names between any
-    of - _ . + is such a word, or the tokens hold a machine phrase."""
-    local = F.lower(F.coalesce(local_part(address), address))
+    of - _ . + is such a word, or the tokens hold a machine phrase. Without @ it is none."""
+    local = F.lower(local_part(address))
     any_of = lambda words: F.array(*map(F.lit, words))
-    return in_words(local, ROLE_WORDS + AUTOMATION_TOKENS) | F.arrays_overlap(_tokens(local, "[-_.+]"), any_of(AUTOMATION_TOKENS)) | F.arrays_overlap(_tokens(local, "[-_+]"), any_of(ROLE_WORDS)) | _has_phrase(local)
+    found = in_words(local, ROLE_WORDS + AUTOMATION_TOKENS) | F.arrays_overlap(_tokens(local, "[-_.+]"), any_of(AUTOMATION_TOKENS)) | F.arrays_overlap(_tokens(local, "[-_+]"), any_of(ROLE_WORDS)) | _has_phrase(local)
+    return F.coalesce(found, F.lit(False))
 
 
 def is_machine(address: Column) -> Column:

@@ -99,3 +99,21 @@ def last_admin(users: DataFrame) -> DataFrame:
     admins = users.where("role = 'company_admin' and is_active")
     alone = admins.groupBy("org_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("user_id")).where("n = 1")
     return alone.select("org_id", "user_id")
+
+
+def person_of(identities: DataFrame, org: str | None, user: str | None) -> DataFrame:
+    """(person_id) that a user is known to be by a verified identity; none if there is none or more than one, and
+    then only what the tenant shares is visible."""
+    own = scoped(identities, org).where((F.col("source_type") == "auth") & F.col("verified") & (F.lit(False) if user is None else F.col("external_id") == user))
+    return own.agg(F.count_distinct("person_id").alias("n"), F.min("person_id").alias("person_id")).where("n = 1").select("person_id")
+
+
+def promote_as(tables: dict[str, DataFrame], org: str, user: str, message: str, at: Column) -> dict[str, DataFrame]:
+    """``promote``, for the owner of the message's connection alone, with a row in the audit log; for any other
+    user all tables stay as they are."""
+    owned = tables["connector_connection"].where((F.col("org_id") == org) & (F.col("owner_user_id") == user)).select(F.col("id").alias("connection_id"))
+    mine = tables["email_message"].where((F.col("org_id") == org) & (F.col("id") == message) & (F.col("visibility_scope") != "org")).join(owned, "connection_id", "left_semi")
+    event = mine.select(F.sha2(F.concat_ws("\0", F.lit("promotion"), "org_id", "id"), 256).alias("id"), at.alias("occurred_at"), F.lit("user").alias("actor_type"), F.lit(user).alias("actor_id"), F.lit("content.promoted").alias("action"), "org_id", F.lit("email_message").alias("entity_type"), F.col("id").alias("entity_id"), F.create_map(F.lit("from"), F.col("visibility_scope"), F.lit("to"), F.lit("org")).alias("details"))
+    if mine.isEmpty():
+        return tables
+    return promote(tables, org, message, at) | {"audit_log": tables["audit_log"].unionByName(event)}

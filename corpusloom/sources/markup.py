@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
 CELLS = frozenset(("td", "th"))
-HIDDEN = frozenset(("script", "style", "head", "template", "noscript"))
+#: Raw text that is never shown.
+HIDDEN = frozenset(("script", "style"))
+#: What a head may hold: another tag ends it, since its own end may be left out.
+IN_HEAD = frozenset("head title meta link base script style noscript template object".split())
 
 
 class _Flattener(HTMLParser):
@@ -19,8 +22,10 @@ class _Flattener(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.hidden = self.kept = 0
+        self.head = False
 
     def handle_starttag(self, tag, attrs):
+        self.head = tag == "head" or (self.head and tag in IN_HEAD)
         if tag in HIDDEN:
             self.hidden += 1
         elif tag in BLOCKS:
@@ -31,7 +36,9 @@ class _Flattener(HTMLParser):
             self.kept += 1
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN:
+        if tag == "head":
+            self.head = False
+        elif tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag in BLOCKS and tag != "br":
             self.parts.append("\n")
@@ -39,7 +46,7 @@ class _Flattener(HTMLParser):
             self.kept = max(0, self.kept - 1)
 
     def handle_data(self, data):
-        if not self.hidden:
+        if not (self.hidden or self.head):
             self.parts.append(data if self.kept else re.sub(r"\s+", " ", data))
 
 

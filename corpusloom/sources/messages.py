@@ -165,6 +165,7 @@ def _record(raw: bytes, mailbox: str | None, internal_date: datetime | None) ->
     subject = limited(header(message, "Subject"), texts.HEADER_MAX)
     answered = message_id(header(message, "In-Reply-To"))
     received = header(message, "Received")
+    sent = instant(header(message, "Date"))
     submitted = (header(message, "Auto-Submitted") or "").split(";")[0].strip().lower()
     origin = is_machine(sender) or (submitted not in ("", "no"))
     bulk = (header(message, "Precedence") or "").strip().lower() in texts.BULK or header(message, "List-Id") is not None or header(message, "List-Unsubscribe") is not None
@@ -177,8 +178,8 @@ def _record(raw: bytes, mailbox: str | None, internal_date: datetime | None) ->
         "from_name": limited(senders[0][0], texts.NAME_MAX) or None if senders else None,
         "from_address": sender,
         "subject": subject,
-        "sent_at": instant(header(message, "Date")),
-        "received_at": internal_date or instant(received.rpartition(";")[2].strip() if received else None),
+        "sent_at": sent,
+        "received_at": internal_date or (instant(received.rpartition(";")[2].strip()) if received and ";" in received else None) or sent,
         "body_text": body,
         "recipients": recipients,
         "attachments": parts,

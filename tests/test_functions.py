@@ -20,7 +20,7 @@ def evaluated(spark, kind, cases, rule):
     [
         (A.normalize_email, {" <A.B@X.org> ": "a.b@x.org", " a+b@x.org\t": "a+b@x.org", "<<a@x>>": "a@x", None: None, "": ""}),
         (A.domain, {"a@b@c.org": "c.org", "a": None, "a@": None, "@x.org": "x.org"}),
-        (A.is_role, {"info@x": True, "it-support@x": True, "x-noreply@x": True, "a.noreply@x": True, "jo.sales@x": False, "renotify@x": False, "no-reply@x": True, "do_not_reply@x": True, "nope-replying@x": False, "sales_team@x": True, "mailer-daemon@x": True}),
+        (A.is_role, {"info@x": True, "it-support@x": True, "x-noreply@x": True, "a.noreply@x": True, "jo.sales@x": False, "renotify@x": False, "no-reply@x": True, "do_not_reply@x": True, "nope-replying@x": False, "sales_team@x": True, "mailer-daemon@x": True, "info": False, None: False, "@x": False}),
         (A.is_generic, {"gmail.com": True, "GMX.de": True, "x.org": False}),
         (A.is_suspicious_idn, {"xn--a.org": True, "a.xn--b": True, "bücher.de": True, "x.org": False}),
         (A.registrable, {"a.b.x.org": "x.org", "a.x.co.uk": "x.co.uk", "foo.atlassian.net": "foo.atlassian.net", "t.mail.onmicrosoft.com": "t.mail.onmicrosoft.com", "a.t.onmicrosoft.com": "t.onmicrosoft.com", "co.uk": "co.uk", "localhost": "localhost", "10.0.0.1": "10.0.0.1"}),
@@ -95,3 +95,14 @@ def test_long_hostile_texts_are_linear():
         begun = datetime.datetime.now()
         R.redact(text)
         assert (datetime.datetime.now() - begun).total_seconds() < 5
+
+
+def test_texts_of_any_length_are_masked_whole(spark):
+    key = "AKIA" + "ABCDEFGH12345678"
+    text = "x " * 1_100_000 + f"{key} and password = {SECRET}"
+    assert R.redact(text) == ("x " * 1_100_000 + "[REDACTED:aws_access_key] and password = [REDACTED:credential]", 2)
+    rows = [(text,), ("nothing here",), (None,), ("",)]
+    got = spark.createDataFrame(rows, "x string").select(R.redacted(F.col("x")).alias("r")).select("r.*").collect()
+    assert [(r["text"], r["count"]) for r in got[1:]] == [("nothing here", 0), (None, 0), ("", 0)] and got[0]["count"] == 2 and key not in got[0]["text"]
+    counted = spark.createDataFrame([(f"{key} ghp_{'a' * 30} [REDACTED:jwt_token]",), (None,)], "x string").select(R.count_tokens(F.col("x"))).collect()
+    assert [r[0] for r in counted] == [2, 0]

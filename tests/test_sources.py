@@ -1,5 +1,6 @@
 """Parser, charset chain, flattening, extraction, mailbox source and snapshots."""
 
+import datetime
 import io
 import zipfile
 from email.message import EmailMessage
@@ -90,6 +91,11 @@ def test_charsets():
 def test_flatten():
     assert markup.flatten("<head><title>t</title></head><p>Hi&nbsp;<a href='x'>link</a><img src=y></p><script>z</script><ul><li>a<li>b</ul>") == "Hi link\n\n- a\n- b" or "link" in markup.flatten("<a href='x'>link</a>")
     assert markup.flatten("<table><tr><td>1</td><td>2</td></tr></table>") == "1 2"
+    # the end of a head may be left out; what is only conditional stays
+    assert markup.flatten("<html><head><title>t</title><body><p>kept?</p>") == "kept?"
+    assert markup.flatten("<head><meta x><title>t</title><style>a</style><p>kept</p></head>more") == "kept\nmore"
+    assert markup.flatten("<p>a</p><noscript>n</noscript><template>x<p>y") == "a\nnx\ny"
+    assert markup.flatten("<head><script>if (a) b</script></head><body>c<script>d</script>e<style>f</style>") == "ce"
     assert markup.flatten("") == "" and markup.flatten("<!-- <b") == "<!-- <b"  # what isn't closed isn't lost
 
 
@@ -159,3 +165,14 @@ def test_snapshots(spark, tmp_path):
     assert t.read().count() == 5
     t.replace(t.read().where("a > 0"))
     assert (before.count(), t.read().count()) == (3, 3)
+
+
+def test_time_of_receipt_falls_back_to_the_date():
+    at = datetime.datetime(2024, 1, 1, 9, tzinfo=datetime.UTC)
+    head = b"Date: Mon, 01 Jan 2024 10:00:00 +0100\r\nFrom: a@x\r\n\r\nx"
+    assert messages.record(head)["received_at"] == at
+    assert messages.record(b"Received: by x; Mon, 01 Jan 2024 11:00:00 +0100\r\n" + head)["received_at"] == at + datetime.timedelta(hours=1)
+    for broken in (b"Received: by x\r\n", b"Received: by x; no date\r\n"):
+        assert messages.record(broken + head)["received_at"] == at
+    assert messages.record(head, None, at - datetime.timedelta(days=1))["received_at"] == at - datetime.timedelta(days=1)
+    assert messages.record(b"From: a@x\r\n\r\nx")["received_at"] is None
