@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ import pyarrow.compute  # noqa: F401  (makes pa.compute available)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, shared_folder
+
 #: A word of the operator contracts: a run of bytes other than space, \t, \n, \v, \f and \r.
 WORD_REGEX = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of an Arrow batch between Spark and Python: with texts of any length the number of rows bounds nothing.
@@ -22,29 +23,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or,
-    where that is unset (local tests), a temporary folder that becomes the checkpoint folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
-    return named or spark.sparkContext.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, large: bool = False) -> DataFrame:
     """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors.
 
-    The shuffle files that led to it are of no more use; the driver's collector is run so that
-    Spark removes them now rather than at some later time."""
-    shared_dir(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    ``large``: what led to it was shuffled in the size of the corpus.  Those files are of no more use, and the
+    driver's collector is run so that Spark removes them now rather than at some later time."""
+    kept = checkpointed(df)
+    if large:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return kept
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def bounded(docs: DataFrame) -> DataFrame:

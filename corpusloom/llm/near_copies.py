@@ -186,6 +186,6 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMIL
     looked = common.cut(loose.join(sizes, "root").select("root", "size", "content", F.col("doc_id").alias("__id"), F.col("version").alias("__version")))
     texts = common.id_and_text(docs).withColumn("version", F.xxhash64("text"))
     grouped = texts.join(looked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version"))).select("root", "size", "content", "text")
-    near = common.cut(members(common.cut(verified(grouped, words, similarity))))
+    near = common.cut(members(common.cut(verified(grouped, words, similarity), True)))
     named = distinct.select("content", "last", "doc_id", "version").join(near, "content", "left")
     return simhash.first_rows(docs, prints, named.select(F.coalesce("root", "content").alias("root"), "last", "doc_id", "version"))

@@ -143,13 +143,13 @@ def marks(keyed_docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame, Unit]
         .where("n > 1")
         .select("anchor", "n", (F.col("least") != F.col("most")).alias("branching"), F.when(drawn(F.col("even")) == drawn(F.col("odd")), drawn(F.col("even"))).alias("twice"))
     )
-    shared = common.cut(found)
-    occurrences = common.cut(keyed_docs.select("row", "version", "text").mapInArrow(full, "row long, version long, spot long, anchor long, content long").join(shared, "anchor"))
+    shared = common.cut(found, True)
+    occurrences = common.cut(keyed_docs.select("row", "version", "text").mapInArrow(full, "row long, version long, spot long, anchor long, content long").join(shared, "anchor"), True)
     branching = occurrences.where("branching")
-    contents = common.cut(branching.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "version", "spot")).alias("source"), F.max("n").alias("n")))
+    contents = common.cut(branching.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "version", "spot")).alias("source"), F.max("n").alias("n")), True)
     sources = contents.select("anchor", "content", "n", "copies", "source.*").groupBy("row", "version").agg(F.collect_list(F.struct("anchor", "content", "n", "copies", "spot")).alias("wanted"))
-    snippets = common.cut(keyed_docs.select("row", "version", "text").join(sources, ["row", "version"]).select("text", "wanted").mapInArrow(_snippets(unit), SNIPPETS))
-    resolved = common.cut(resolve(snippets, unit))
+    snippets = common.cut(keyed_docs.select("row", "version", "text").join(sources, ["row", "version"]).select("text", "wanted").mapInArrow(_snippets(unit), SNIPPETS), True)
+    resolved = common.cut(resolve(snippets, unit), True)
 
     start, n, _ = unpacked_columns("spot")
     stretch = F.array(F.array(start, start + n + F.lit(span - 1))).alias("stretches")

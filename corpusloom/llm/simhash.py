@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (a null one comes last),
     and of the smallest text hash among equal identifiers."""
-    prints = common.cut(fingerprints(docs))
+    prints = common.cut(fingerprints(docs), True)
     named = prints.join(component_of(prints.select("doc_id", "fp")), "fp").select("root", F.col("doc_id").isNull().alias("last"), "doc_id", "version")
     return first_rows(docs, prints, named)
 
