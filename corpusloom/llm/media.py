@@ -67,31 +67,34 @@ def tensors(media: DataFrame) -> DataFrame:
     return media.select(media["doc_id"].cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
 
 
+def store(rows: DataFrame, path: str) -> DataFrame:
+    """The rows, media or tensors, written to Parquet under ``path`` and read back from there."""
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 DIGEST = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 )
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Of every row: the text is stored as a JPEG, the JPEG is decoded, and the payload that its coefficients
-    hold, the JPEG and the tensor are digested.  Both halves run in one pass over the rows, as
-    ``to_media`` and ``tensors`` do them, so that media and tensors never leave the task.
+def digests(media: DataFrame) -> DataFrame:
+    """Of every row of stored ``media`` (doc_id, n_bytes, media; see ``to_media``): digests of the payload that the
+    JPEG's coefficients hold and of the JPEG, and the feature of its tensor.
 
-    A null or empty text is padding alone, equal texts have equal values, repeated rows and null
-    identifiers stay, an empty table gives an empty one, other columns are not looked at."""
+    Equal texts have equal values, repeated rows and null identifiers stay, an empty table gives an empty one."""
 
-    def one(text: bytes):
-        media = jpeg.encode(padded(text))
-        image = jpeg.decode(media)
+    def one(data: bytes):
+        image = jpeg.decode(data)
         payload = jpeg.payload(image)
-        return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(jpeg.rgb(image))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(jpeg.rgb(image))
 
     def run(batches):
-        for batch in common.byte_batches(batches, BATCH_BYTES):
-            yield common.record(DIGEST, batch.column(0), *map(list, zip(*map(one, common.as_bytes(batch.column(1))), strict=True)))
+        for batch in common.byte_batches(batches, BATCH_BYTES, "media"):
+            yield common.record(DIGEST, batch.column(0), batch.column(1), *map(list, zip(*map(one, batch.column(2).to_pylist()), strict=True)))
 
-    return common.id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return common.bounded(media).select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(common.documents(spark, sf_dir))
+    return digests(store(to_media(common.documents(spark, sf_dir)), common.fresh_path(spark, "media")))

@@ -145,17 +145,18 @@ def test_inverse_transform():
     assert np.abs(jpeg.samples(c, np.ones(64, np.int64)) - want).max() <= 1
 
 
-def test_media_query(spark):
-    got = media.digests(frame(spark)).collect()
+def test_media_query(spark, tmp_path):
+    stored = media.store(media.to_media(frame(spark)), str(tmp_path / "media"))
+    got = media.digests(stored).collect()
     want = sorted(((i, len(t), hashlib.sha256(p := media.padded(t)).hexdigest(), len(p), zlib.crc32(p[-32:])) for i, t in texts()), key=repr)
     assert sorted(((r["doc_id"], r["n_bytes"], r["payload_sha256"], r["payload_bytes"], r["tail_crc32"]) for r in got), key=repr) == want
     assert len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in got}) == len({r["payload_sha256"] for r in got})
-    stored = media.to_media(frame(spark))
-    shapes = media.tensors(stored).collect()
+    shapes = media.store(media.tensors(stored), str(tmp_path / "tensors")).collect()
     assert all(len(r["rgb"]) == r["height"] * r["width"] * 3 for r in shapes) and len(shapes) == len(got)
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"no")), (3, bytearray(b"\xff\xd8\xff"))], "doc_id long, media binary")
     assert [r["rgb"] for r in media.tensors(bad).collect()] == [None] * 3
-    assert media.digests(spark.createDataFrame([], SCHEMA)).count() == 0
+    empty = media.to_media(spark.createDataFrame([], SCHEMA))
+    assert media.digests(media.store(empty, str(tmp_path / "none"))).count() == 0
 
 
 def test_rules_equal_their_sql(spark, duck, sf_dir):
