@@ -5,10 +5,10 @@ over byte strings, and at each place the *longest* prefix that the trie holds is
 mapped form.  ``Normalizer`` records, for every byte of the normalised text, the source bytes it
 stems from.  Pieces, in order, tile the normalised text, so each is projected to a source span.
 
-Texts are encoded unit by unit: a unit is a run of spaces and the word after it.  No piece of a model
-that splits at white space holds a space after another character, so merges never cross units and a
-bounded memo of units gives the library's result for the whole text.  Texts or models for which that
-doesn't hold go through the library whole.
+Where the map is empty, texts are encoded and aligned unit by unit: a unit is a run of spaces and the
+word after it.  No piece of a model that splits at white space holds a space after another character, so
+merges never cross units and a bounded memo of units gives the library's ids and the normaliser's spans
+for the whole text.  Texts or models for which that doesn't hold go through both whole.
 """
 
 from __future__ import annotations
@@ -195,20 +195,22 @@ class Codec:
                 out.append([u[1:] for u in UNITS.findall(" " + text)] if "" in keys else keys)
         return out
 
-    def rate(self, keys: list[str]) -> list[tuple[int, bytes, bytes, bytes]]:
-        """Of each unit: ids, decimal ids, decoded text, and source bytes of its pieces."""
+    def rate(self, keys: list[str]) -> list[tuple[int, bytes, bytes, bytes, bytes, int]]:
+        """Of each unit: number of ids, decimal ids, decoded text, first and end bytes of its pieces' spans from
+        the key's first byte on, and the key's bytes.  The normaliser aligns the key; the space before
+        it, which the key leaves out, is what its dummy prefix stands for: byte -1."""
         out = []
         rows = self.model.encode(keys, num_threads=1)
         decoded = self.model.decode(rows, num_threads=1)
         for key, ids, text in zip(keys, rows, decoded, strict=True):
-            if not key:
+            source = key.encode()
+            if key:
+                begin, end = self.spans(source, ids)
+                begin[0] = -1
+            else:  # a space alone
                 ids, text = [self.lone_space], ""
-            sizes = self.sizes[ids].copy()
-            sizes[0] -= 2 if sizes[0] >= 3 else 0
-            # every space is one source byte but three normalised ones; only leading pieces hold spaces
-            if key[:1] == " ":
-                sizes = np.array([len(self.model.id_to_piece(i).replace(SPACE, " ").encode()) if not self.model.is_byte(i) else 1 for i in ids], np.int32)
-            out.append((len(ids), (" ".join(map(str, ids)) + " ").encode(), (" " + text).encode(), sizes.tobytes()))
+                begin, end = np.array([-1], np.int32), np.array([0], np.int32)
+            out.append((len(ids), (" ".join(map(str, ids)) + " ").encode(), (" " + text).encode(), begin.tobytes(), end.tobytes(), len(source)))
         return out
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
@@ -229,11 +231,11 @@ class Codec:
                 n = sum(r[0] for r in rows)
                 said = b"".join([r[1] for r in rows])
                 decoded = b"".join([r[2] for r in rows])[1:]
-                sizes = np.frombuffer(b"".join([r[3] for r in rows]), np.int32).copy()
-                if n:
-                    sizes[0] -= 1  # the first space is the dummy prefix
-                end = np.cumsum(sizes, dtype=np.int32)
-                begin = end - sizes
+                # a unit begins after the units before it and a space for each of them
+                first = np.cumsum([0] + [r[5] + 1 for r in rows[:-1]]) if rows else np.zeros(0, np.int64)
+                first = np.repeat(first, [r[0] for r in rows]).astype(np.int32)
+                begin = np.maximum(np.frombuffer(b"".join([r[3] for r in rows]), np.int32) + first, 0)  # at 0, there is no such space
+                end = np.frombuffer(b"".join([r[4] for r in rows]), np.int32) + first
             spans = np.stack([begin, end], 1).astype("<i4").tobytes() if n else b""
             out.append((n + 1, hashlib.sha256(said + tail).hexdigest(), hashlib.sha256(decoded).hexdigest(), zlib.crc32(spans)))
         return out
