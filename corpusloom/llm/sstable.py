@@ -23,6 +23,7 @@ import os
 import re
 import struct
 import unicodedata
+import uuid
 import zlib
 
 import numpy as np
@@ -30,7 +31,8 @@ import pyarrow as pa
 import pyarrow.fs
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,6 +45,10 @@ BLOOM_BITS, BLOOM_PROBES = 10, 7
 BATCH_BYTES = 1 << 20
 #: Documents of a shard on average; shards are the unit of writing, reading and recovery.
 DOCUMENTS_PER_SHARD = 8192
+#: Shards that a task writes at most, or so, once there are more than tasks.
+SHARDS_PER_PART = 16
+#: Tasks that read, in numbers of shuffle partitions, at most.
+READERS = 16
 MEMO = 700_000
 WORD = 64
 #: Words whose lower case and composed form are beyond doubt: Latin letters but for one that has two in lower case.
@@ -334,71 +340,67 @@ def encoder(name: str, end_id: int) -> Encoder:
     return Encoder(name, end_id)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, documents_per_shard: int = DOCUMENTS_PER_SHARD) -> list[dict]:
+MANIFEST = "part int, place int, path string, n_docs long, n_ids long"
+
+
+def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, documents_per_shard: int = DOCUMENTS_PER_SHARD) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes shards under ``path``, a folder that every executor reaches.
 
-    Returns the manifest in key order: path, n_docs, n_ids and start (ids of all shards before).  Its
-    length is the number of shards.  A null text is an empty one and has the end id alone; a null
-    doc_id sorts first; rows with equal doc_id are ordered by their ids; an empty table has no shard.
-    Shard bounds are quantiles of doc_id, so any spread of identifiers gives even shards.
+    Returns the manifest, a row a shard: part, place (their order is that of the keys), path, n_docs, n_ids
+    and start (ids of all shards before).  A null text is an empty one and has the end id alone; a null
+    doc_id sorts first; rows with equal doc_id are ordered by the hash of their text; an empty table
+    has no shard.  Texts are dealt by ranges of (doc_id, hash, place in the input), so any spread of
+    identifiers, repeated and null ones included, gives even parts; a part writes a shard for each
+    ``documents_per_shard`` of its documents.  The driver holds no list of shards or bounds.
     """
     docs = common.id_and_text(docs)
-    rows, shards, bounds = 0, 1, []
-    if head := docs.agg(F.count(F.lit(1)).alias("n")).first():
-        rows = head["n"]
-        shards = max(1, -(-rows // documents_per_shard))
-    if not rows:
-        return []
-    if shards > 1:
-        found = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20 * shards).alias("q")).first()["q"]
-        bounds = sorted(set(found or []))
+    spark = docs.sparkSession
+    shards = -(-docs.count() // documents_per_shard)
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards), shards // SHARDS_PER_PART)
     width = encoder(tokenizer, end_id).width
-    schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("ids", pa.binary())])
-
-    def encode(batches):
-        own = encoder(tokenizer, end_id)
-        for batch in common.byte_batches(batches, BATCH_BYTES):
-            ids = batch.column(0).to_pylist()
-            yield common.record(schema, batch.column(0), [0 if x is None else bisect.bisect_left(bounds, x) for x in ids], own(common.as_bytes(batch.column(1))))
+    schema = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def store(batches):
-        import uuid
-
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(folder)
-        writer = shard = None
-        done = []
+        own, part = encoder(tokenizer, end_id), TaskContext.get().partitionId()
+        writer, done = None, []
 
         def finish():
             writer.close()
             writer.file.close()
             # another attempt of this task writes the same bytes; the last one to be renamed stays
-            fs.move(draft, f"{folder}/{shard:08d}.sst")
-            done.append((shard, writer.entries, writer.ids))
+            name = f"{part:06d}-{len(done):06d}.sst"
+            fs.move(draft, f"{folder}/{name}")
+            done.append((part, len(done), f"{path.rstrip('/')}/{name}", writer.entries, writer.ids))
 
-        for batch in batches:
-            for doc_id, at, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != shard:
-                    if writer:
-                        finish()
-                    shard, draft = at, f"{folder}/.{at:08d}-{uuid.uuid4().hex}"
+        for batch in common.byte_batches(batches, BATCH_BYTES):
+            for doc_id, value in zip(batch.column(0).to_pylist(), own(common.as_bytes(batch.column(1))), strict=True):
+                if writer and writer.entries == documents_per_shard:
+                    finish()
+                    writer = None
+                if not writer:
+                    draft = f"{folder}/.{part:06d}-{uuid.uuid4().hex}"
                     writer = Writer(fs.open_output_stream(draft), width)
                 writer.add(key_of(doc_id), value)
         if writer:
             finish()
-        yield pa.RecordBatch.from_pylist([dict(zip(("shard", "n_docs", "n_ids"), x, strict=True)) for x in done], pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        if done:
+            yield common.record(schema, *map(list, zip(*done, strict=True)))
 
-    encoded = docs.mapInArrow(encode, "doc_id long, shard int, ids binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    manifest, start = [], 0
-    for row in sorted(dealt.mapInArrow(store, "shard int, n_docs long, n_ids long").collect()):
-        manifest.append({"path": f"{path}/{row['shard']:08d}.sst", "n_docs": row["n_docs"], "n_ids": row["n_ids"], "start": start})
-        start += row["n_ids"]
-    return manifest
+    order = [F.col("doc_id").asc_nulls_first(), F.col("version").asc()]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("version"), F.monotonically_increasing_id().alias("row"))
+    dealt = keyed.repartitionByRange(parts, *order, "row").sortWithinPartitions(*order).select("doc_id", "text")
+    manifest = common.cut(dealt.mapInArrow(store, MANIFEST), True)
+    # a row a part comes together here
+    totals = manifest.groupBy("part").agg(F.sum("n_ids").alias("all")).withColumn("before", F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("all"))
+    upto = F.sum("n_ids").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    starts = manifest.withColumn("upto", upto).join(totals.select("part", "before"), "part")
+    return starts.select(*manifest.columns, (F.col("before") + F.col("upto") - F.col("n_ids")).alias("start"))
 
 
-def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every entry of the shards, one task to a shard.
+def read(manifest: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every entry of the manifest's shards (path, start).
 
     ``start`` is the number of ids of all entries before; the crc32 is that of the ids as
     little-endian unsigned 32-bit integers."""
@@ -418,9 +420,10 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                 if rows:
                     yield common.record(schema, *map(list, zip(*rows, strict=True)))
 
-    shards = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start long")
-    return shards.repartition(max(1, len(manifest))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # dealt by number: shards are large, their rows of the manifest are not
+    tasks = max(1, min(manifest.count(), READERS * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return manifest.select("path", "start").repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, write(common.documents(spark, sf_dir), common.fresh_path(spark, "sst")))
+    return read(write(common.documents(spark, sf_dir), common.fresh_path(spark, "sst")))

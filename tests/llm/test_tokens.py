@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from corpusloom.llm import common, pieces, sstable, token_counts
 
@@ -75,19 +77,21 @@ def test_normaliser_equals_the_library(rule):
 
 def test_tables_round_trip(spark, tmp_path):
     t = library("word_bpe_49k.json")
-    rows = [(i, [*t.encode(x.decode(), add_special_tokens=False).ids, 1]) for i, x in texts()]
-    key = lambda r: (r[0] is not None, r[0] or 0, struct.pack(f"<{len(r[1])}H", *r[1]))
-    manifest = sstable.write(frame(spark), f"file://{tmp_path}/t", documents_per_shard=20)
-    assert len(manifest) > 3
+    rows = [(i, [*t.encode(x.decode(), add_special_tokens=False).ids, 1], struct.unpack(">q", xxhash.xxh64(x, 42).digest())[0]) for i, x in texts()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    manifest = sstable.write(frame(spark), f"file://{tmp_path}/t", documents_per_shard=7)
+    files = manifest.orderBy("part", "place").collect()
+    assert len(files) > 8 and {m["place"] for m in files} > {0} and max(m["n_docs"] for m in files) <= 7
+    assert [m["start"] for m in files] == [sum(x["n_ids"] for x in files[:k]) for k in range(len(files))]
     want, start = [], 0
-    for i, ids in sorted(rows, key=key):
+    for i, ids, _ in sorted(rows, key=key):
         want.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)
-    assert collected(sstable.read(spark, manifest)) == sorted(want, key=repr)
+    assert collected(sstable.read(manifest)) == sorted(want, key=repr)
     held = {}
-    for i, ids in sorted(rows, key=key):
+    for i, ids, _ in sorted(rows, key=key):
         held.setdefault(i, []).append(ids)
-    tables = [sstable.opened(m["path"]) for m in manifest]
+    tables = [sstable.opened(m["path"]) for m in files]
     for i in [*held, 10**9, -77]:
         assert [x.tolist() for t in tables for x in t.get(i)] == held.get(i, [])
 
@@ -111,4 +115,14 @@ def test_table_blocks(tmp_path, monkeypatch):
 def test_empty_tables(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     assert token_counts.count_tokens(empty).count() == pieces.digests(empty).count() == 0
-    assert sstable.write(empty, f"file://{tmp_path}/e") == [] and sstable.read(spark, []).count() == 0
+    manifest = sstable.write(empty, f"file://{tmp_path}/e")
+    assert manifest.count() == 0 == sstable.read(manifest).count()
+
+
+def test_repeated_identifiers_go_to_several_shards(spark, tmp_path):
+    rows = [(None if k % 3 else 5, f"text {k % 90}", "en", "s", 0, "r", k, 0.5, "s", k, "x") for k in range(300)]
+    manifest = sstable.write(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/r", documents_per_shard=10)
+    sizes = [m["n_docs"] for m in manifest.groupBy("part").agg(F.sum("n_docs").alias("n_docs")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 120  # 200 have no identifier
+    out = sstable.read(manifest).collect()
+    assert len(out) == 300 and sorted(r["start"] for r in out) == sorted(sum(x["n_tokens"] for x in sorted(out, key=lambda r: r["start"])[:k]) for k in range(300))
