@@ -1,39 +1,155 @@
-"""Substring dedup over words by compaction of a De Bruijn graph.
-
-The graph's edges are word k-mers, k = 35: the windows.  Most of it is never built one edge at a
-time: runs of windows under one anchor are stretches of edges, and where all runs of an anchor have
-one content the path doesn't branch there, so the join of runs with their anchors' counts compacts it
-and all its edges repeat.  Where it branches, the source coordinates of each distinct content lead to
-its words, its edges are counted one by one, and those that occur twice or more are the repeats.
+"""Substring dedup over words by a compacted De Bruijn graph.
+
+The graph's edges are word k-mers, k = 35, its nodes their first and last 34 words.
+
+1. Edges are dealt by their minimiser (see ``anchors``): runs of edges with one minimiser are what is
+   shuffled.  Minimisers that occur once hold no repeated edge and go.
+2. Each distinct run has a source, the first place it stands at.  There its words are read by coordinates, and
+   give the edges: one by one where a minimiser's runs differ, the run as one stretch of edges where not.
+   Edges that occur twice or more stay, with their multiplicity.
+3. Nodes with one edge in and one out join their edges; paths of those compact by pointer doubling, a few
+   joins for paths of any length.  The paths are the repeated passages.
+4. The paths' stretches return to all runs that hold them, with a check of the source's words by which every
+   place is verified when its text is read again.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, repeats
+from . import anchors, common, repeats
 
 WINDOW = 35
 #: Words of an anchor. Windows of 35 words hold 24 of them, a run is 12.5 windows long on average.
 GRAM = 12
 
 
-def resolve(snippets: DataFrame, unit: repeats.Unit) -> DataFrame:
-    return repeats.resolve_by_windows(repeats.windows(snippets, unit))
+def check_of(words: list[bytes]) -> int:
+    """64 bits of a run's words that have nothing to do with the hashes it was found by."""
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "big", signed=True)
+
+
+STRETCHES = "anchor long, content long, at long, n long, edge long, head long, tail long, copies long, row long, version long, first long"
+
+
+def stretches_of(keyed_docs: DataFrame, contents: DataFrame, unit: repeats.Words) -> tuple[DataFrame, DataFrame]:
+    """Of contents (anchor, content, branching, copies, source), read at their sources: rows of STRETCHES, ``n`` edges
+    each from the ``at``-th of the content on, ``first``: the source's word they begin at; and (anchor, content, check)."""
+    names = [c.split()[0] for c in STRETCHES.split(", ")]
+    schema = pa.schema([(c, pa.int64()) for c in names] + [("check", pa.int64())])
+
+    def run(batches):
+        for batch in common.byte_batches(batches, repeats.BATCH_BYTES):
+            for row, version, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.split()
+                codes = unit.codes(unit.symbols(text))
+                out = []
+                for w in wanted:
+                    start, n, _ = repeats.unpacked(w["spot"])
+                    part = codes[start : start + n + unit.span - 1]
+                    nodes = anchors.window_hashes(part, unit.span - 1).view(np.int64).tolist()
+                    edges = anchors.window_hashes(part, unit.span).view(np.int64).tolist() if w["branching"] else [w["content"]]
+                    check = check_of(words[start : start + n + unit.span - 1])
+                    step = 1 if w["branching"] else n
+                    for k, edge in enumerate(edges):
+                        out.append((w["anchor"], w["content"], k, step, edge, nodes[k], nodes[k + step], w["copies"], row, version, start + k, None if k else check))
+                yield common.record(schema, *map(list, zip(*out, strict=True)))
+
+    sources = repeats.wanted_by_source(contents, "branching", "copies")
+    texts = keyed_docs.select("row", "version", F.col("text").cast("binary").alias("text"))
+    found = common.cut(texts.join(sources, ["row", "version"]).select("row", "version", "text", "wanted").mapInArrow(run, STRETCHES + ", check long"), True)
+    return found.select(*names), found.where("check is not null").select("anchor", "content", "check")
+
+
+def graph(stretches: DataFrame) -> DataFrame:
+    """(id, anchor, edge, n, head, tail, copies, source) of every edge, or stretch of edges, that occurs twice or more."""
+    edges = stretches.groupBy("anchor", "edge", "n", "head", "tail").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "version", "first")).alias("source")).where("copies > 1")
+    return common.cut(edges.select(F.xxhash64("anchor", "edge", "n", "head", "tail").alias("id"), "*"))
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """(id, path, before) of each edge of a graph (id, n, head, tail): the first edge of its nonbranching path, and
+    the number of k-mers of the path before it.
+
+    An edge points to the one before it where their common node has one edge in and one out; each round
+    replaces every pointer by that of the edge it points to, so that what it leaps over doubles, until all
+    point to first edges, which have none.  On a closed cycle no edge is the first: when the number of pointers
+    that still move stays the same, only cycles are left, and their edges stay paths of their own."""
+    ins, outs = (edges.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias(f"{c}s"), F.min("id").alias(f"{c}_id"), F.min("n").alias(f"{c}_n")) for c in ("tail", "head"))
+    single = ins.where("tails = 1").join(outs.where("heads = 1"), "node").where("tail_id <> head_id")
+    pointers = common.cut(single.select(F.col("head_id").alias("id"), F.col("tail_id").alias("path"), F.col("tail_n").alias("before")))
+    moving = None
+    while True:
+        aim = pointers.select(F.col("id").alias("__id"), F.col("path").alias("__path"), F.col("before").alias("__before"))
+        leaps = pointers.join(aim, F.col("path") == F.col("__id"), "left")
+        now = common.cut(leaps.select("id", F.coalesce("__path", "path").alias("path"), (F.col("before") + F.coalesce("__before", F.lit(0))).alias("before"), F.col("__id").isNotNull().alias("moved")))
+        left = now.where("moved").count()
+        pointers = now.select("id", "path", "before")
+        if left in (0, moving):
+            break
+        moving = left
+    held = now.where("not moved").select("id", "path", "before")
+    return edges.select("id").join(held, "id", "left").select("id", F.coalesce("path", "id").alias("path"), F.coalesce("before", F.lit(0)).alias("before"))
+
+
+class Graph:
+    """The compacted graph of a corpus's repeated k-mers."""
+
+    def __init__(self, keyed_docs: DataFrame, unit: repeats.Words):
+        self.unit = unit
+        self.occurrences = repeats.occurrences_of(keyed_docs, unit, repeats.shared_anchors(keyed_docs, unit).select("anchor", "branching"))
+        found = self.occurrences.groupBy("anchor", "content", "branching").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "version", "spot")).alias("source"))
+        self.stretches, self.checks = stretches_of(keyed_docs, common.cut(found, True), unit)
+        self.edges = graph(self.stretches)
+        self.paths = common.cut(compacted(self.edges))
+
+    def passages(self) -> DataFrame:
+        """(path, words, copies, row, version, first): the nonbranching paths as repeated passages: their words, the least
+        number of times that a k-mer of theirs occurs, and the place of their first word."""
+        rows = self.edges.join(self.paths, "id")
+        ends = rows.groupBy("path").agg((F.sum("n") + self.unit.span - 1).alias("words"), F.min("copies").alias("copies"))
+        return ends.join(self.edges.select(F.col("id").alias("path"), "source"), "path").select("path", "words", "copies", "source.*")
+
+    def hits(self) -> DataFrame:
+        """(row, version, hits): for each row with repeats its runs that hold stretches of paths: the first word, number of
+        words, check of these and stretches of repeated windows in the run."""
+        key = ["anchor", "edge", "n", "head", "tail"]
+        placed = self.stretches.join(self.edges.select("id", *key), key).join(self.paths, "id")
+        # edges of one path that follow each other make one stretch; a run is shorter than a gap would be
+        along = placed.groupBy("anchor", "content", "path", (F.col("before") - F.col("at")).alias("shift")).agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("n")).alias("b"))
+        windows = along.groupBy("anchor", "content").agg(F.collect_list(F.array("a", "b")).alias("windows"))
+        windows = common.cut(windows.join(self.checks, ["anchor", "content"]))
+        start, n, _ = repeats.unpacked_columns("spot")
+        rows = self.occurrences.join(windows, ["anchor", "content"]).select("row", "version", F.struct(start.alias("first"), (n + F.lit(self.unit.span - 1)).alias("words"), "check", "windows").alias("hit"))
+        return rows.groupBy("row", "version").agg(F.collect_list("hit").alias("hits"))
+
+
+def removed(words: list[bytes], hits: list[dict] | None, window: int) -> np.ndarray | None:
+    """Mask of the words that repeated windows cover; each hit's words are held against those of its source."""
+    if not hits:
+        return None
+    pairs = []
+    for hit in hits:
+        first = hit["first"]
+        if check_of(words[first : first + hit["words"]]) != hit["check"]:
+            raise ValueError("two different passages have the same hashes")
+        pairs += [[first + a, first + b + window - 1] for a, b in hit["windows"]]
+    return repeats.covered(pairs, len(words))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text, stretches) of every row: ``stretches`` are [first word, end word] of repeated
-    windows, overlapping ones included; null where there are none or the text is null or short."""
-    keyed = repeats.keyed(docs)
-    unit = repeats.Words(gram, window)
-    return repeats.with_marks(keyed, repeats.marks(keyed, unit, resolve))
+def passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(path, words, copies, doc_id, first): the repeated passages of ``docs`` (see ``Graph.passages``) with the document
+    and place of their first word.  Null and short texts have none, an empty table gives an empty one."""
+    found = Graph(repeats.keyed(docs), repeats.Words(gram, window)).passages()
+    return found.select("path", "words", "copies", F.nullif("row", F.lit(-(1 << 63))).alias("doc_id"), "first")
 
 
 def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -45,16 +161,17 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     def run(batches):
         for batch in common.byte_batches(batches, repeats.BATCH_BYTES):
             out = []
-            for text, stretches in zip(common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = text.split()
-                kept = words
-                if stretches:
-                    gone = repeats.covered(stretches, len(words)).tolist()
-                    kept = [w for w, g in zip(words, gone, strict=True) if not g]
+            for text, hits in zip(common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                kept = words = text.split()
+                gone = removed(words, hits, window)
+                if gone is not None:
+                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield common.record(SCHEMA, batch.column(0), *map(list, zip(*out, strict=True)))
 
-    return repeated_spans(docs, window, gram).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    keyed = repeats.keyed(docs)
+    marked = keyed.join(Graph(keyed, repeats.Words(gram, window)).hits(), ["row", "version"], "left").select("doc_id", "text", "hits")
+    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op5_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:

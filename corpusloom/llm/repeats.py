@@ -105,14 +105,9 @@ def unpacked(spot):
     return spot >> 24, spot >> 12 & 4095, spot & 4095
 
 
-def marks(keyed_docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame, Unit], DataFrame]) -> DataFrame:
-    """(row, version, stretches): for each row with repeats, stretches of repeated windows as
-    [first symbol, end symbol] pairs, which may overlap.
-
-    ``resolve`` gets the distinct contents of branching anchors (anchor, n, content, copies, spot, and the
-    run's symbols as binary; n: the anchor's runs in all) and returns (anchor, content, stretches of
-    window numbers in the run) of those that occur once: of the others all windows repeat."""
-    span = unit.span
+def shared_anchors(keyed_docs: DataFrame, unit: Unit) -> DataFrame:
+    """(anchor, n, branching, twice) of the anchors of several runs: n of them, ``branching`` if their contents
+    differ, ``twice``: 44 bits of a content that occurs twice, where one showed."""
 
     def pairs(batches):
         schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("draw", pa.int64())])
@@ -123,13 +118,6 @@ def marks(keyed_docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame, Unit]
                 draw = (chance >> np.uint64(46)) << np.uint64(45) | (content.view(np.uint64) >> np.uint64(20)) << np.uint64(1) | chance & np.uint64(1)
                 yield common.record(schema, pa.array(anchor), pa.array(content), pa.array(draw.view(np.int64)))
 
-    def full(batches):
-        schema = pa.schema([(c, pa.int64()) for c in ("row", "version", "spot", "anchor", "content")])
-        for batch in common.byte_batches(batches, BATCH_BYTES):
-            row, version = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for owner, start, n, rel, anchor, content in runs_of(unit, common.as_bytes(batch.column(2))):
-                yield common.record(schema, *map(pa.array, (row[owner], version[owner], packed(start, n, rel), anchor, content)))
-
     # ``draw``: chance, 44 bits of the content, and a bit that parts the runs in two.  If the runs that are drawn
     # from both parts have one content, it occurs twice, and its runs need no more looking at: a passage
     # that a large part of the corpus holds is told here, without a join.
@@ -143,11 +131,41 @@ def marks(keyed_docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame, Unit]
         .where("n > 1")
         .select("anchor", "n", (F.col("least") != F.col("most")).alias("branching"), F.when(drawn(F.col("even")) == drawn(F.col("odd")), drawn(F.col("even"))).alias("twice"))
     )
-    shared = common.cut(found, True)
-    occurrences = common.cut(keyed_docs.select("row", "version", "text").mapInArrow(full, "row long, version long, spot long, anchor long, content long").join(shared, "anchor"), True)
+    return common.cut(found, True)
+
+
+def occurrences_of(keyed_docs: DataFrame, unit: Unit, shared: DataFrame) -> DataFrame:
+    """(row, version, spot, anchor, content) of the runs of shared anchors, with the anchors' columns."""
+
+    def full(batches):
+        schema = pa.schema([(c, pa.int64()) for c in ("row", "version", "spot", "anchor", "content")])
+        for batch in common.byte_batches(batches, BATCH_BYTES):
+            row, version = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for owner, start, n, rel, anchor, content in runs_of(unit, common.as_bytes(batch.column(2))):
+                yield common.record(schema, *map(pa.array, (row[owner], version[owner], packed(start, n, rel), anchor, content)))
+
+    runs = keyed_docs.select("row", "version", "text").mapInArrow(full, "row long, version long, spot long, anchor long, content long")
+    return common.cut(runs.join(shared, "anchor"), True)
+
+
+def wanted_by_source(contents: DataFrame, *columns: str) -> DataFrame:
+    """(row, version, wanted): of each row that is the source of contents, what is asked for."""
+    rows = contents.select("anchor", "content", *columns, "source.*")
+    return rows.groupBy("row", "version").agg(F.collect_list(F.struct("anchor", "content", *columns, "spot")).alias("wanted"))
+
+
+def marks(keyed_docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame, Unit], DataFrame]) -> DataFrame:
+    """(row, version, stretches): for each row with repeats, stretches of repeated windows as
+    [first symbol, end symbol] pairs, which may overlap.
+
+    ``resolve`` gets the distinct contents of branching anchors (anchor, n, content, copies, spot, and the
+    run's symbols as binary; n: the anchor's runs in all) and returns (anchor, content, stretches of
+    window numbers in the run) of those that occur once: of the others all windows repeat."""
+    span = unit.span
+    occurrences = occurrences_of(keyed_docs, unit, shared_anchors(keyed_docs, unit))
     branching = occurrences.where("branching")
     contents = common.cut(branching.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "version", "spot")).alias("source"), F.max("n").alias("n")), True)
-    sources = contents.select("anchor", "content", "n", "copies", "source.*").groupBy("row", "version").agg(F.collect_list(F.struct("anchor", "content", "n", "copies", "spot")).alias("wanted"))
+    sources = wanted_by_source(contents, "n", "copies")
     snippets = common.cut(keyed_docs.select("row", "version", "text").join(sources, ["row", "version"]).select("text", "wanted").mapInArrow(_snippets(unit), SNIPPETS), True)
     resolved = common.cut(resolve(snippets, unit), True)
 

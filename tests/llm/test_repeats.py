@@ -51,6 +51,59 @@ def test_words(spark):
     assert collected(debruijn.digests(frame(spark), 9, 4)) == sorted(by_words(texts(), 9), key=repr)
 
 
+def paths_of(texts, k):
+    """Nonbranching paths of the repeated k-mers of word lists, as (words, least copies)."""
+    edges = {e: c for e, c in Counter(tuple(t[i : i + k]) for t in texts for i in range(len(t) - k + 1)).items() if c > 1}
+    ins, outs = Counter(e[1:] for e in edges), Counter(e[:-1] for e in edges)
+    before = {}
+    for e in edges:
+        for f in edges:
+            if e[1:] == f[:-1] and e != f and ins[e[1:]] == outs[e[1:]] == 1:
+                before[f] = e
+    least = {}
+    for e in edges:
+        at, steps = e, 0
+        while at in before and steps <= len(edges):
+            at, steps = before[at], steps + 1
+        least.setdefault(e if steps > len(edges) else at, []).append(edges[e])
+    return sorted((len(c) + k - 1, min(c)) for c in least.values())
+
+
+@pytest.mark.parametrize("case", ["passages", "branching", "cycle", "hot"])
+def test_paths(spark, case):
+    r = random.Random(4)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    p, q = words(60), words(40)
+    if case == "passages":
+        texts = [words(20) + p + words(20), p[:50] + words(9), words(7) + p[5:], words(80), q + p, q + words(3)]
+    elif case == "branching":
+        texts = [p[:30] + q[:20], p[:30] + q[:20], p[:30] + q[20:], p[:30] + q[20:], words(5) + p[10:40], p + q]
+    elif case == "cycle":
+        texts = [words(4) + p[:5] * 12, p[1:5] + p[:5] * 3, ["x"] * 50, ["y", "z"] * 30]
+    else:
+        texts = [words(r.randrange(9)) + p + words(r.randrange(9)) for _ in range(300)] + [words(30) + p[:40] + q for _ in range(40)]
+    rows = [(i, " ".join(t), "en", "s", 0, "r", i, 0.5, "s", 0, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = debruijn.passages(df, 9, 4).collect()
+    want = paths_of(texts, 9)
+    if case == "cycle":  # how many stretches a closed cycle comes in is open
+        assert sum(x["words"] - 8 for x in found) == sum(w - 8 for w, _ in want)
+    else:
+        assert sorted((x["words"], x["copies"]) for x in found) == want
+    for x in found:  # their first k-mers stand where they say
+        start = tuple(texts[x["doc_id"]][x["first"] : x["first"] + 9])
+        assert sum(tuple(t[i : i + 9]) == start for t in texts for i in range(len(t) - 8)) > 1
+    assert collected(debruijn.digests(df, 9, 4)) == sorted(by_words([(i, t.encode()) for i, t, *_ in rows], 9), key=repr)
+
+
+def test_words_are_held_against_their_source():
+    words = [b"a", b"b", b"c", b"d"]
+    hit = {"first": 1, "words": 3, "check": debruijn.check_of(words[1:]), "windows": [[0, 1]]}
+    assert debruijn.removed(words, [hit], 2).tolist() == [False, True, True, False] and debruijn.removed(words, None, 2) is None
+    with pytest.raises(ValueError):
+        debruijn.removed([b"a", b"b", b"x", b"d"], [hit], 2)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert suffix_array.digests(empty).count() == 0 == debruijn.digests(empty).count()
