@@ -189,14 +189,16 @@ def fly(live: DataFrame, salt: int, landing: bool) -> DataFrame:
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken."""
-    mixed = mix(docs, **how).groupBy("doc_id", "version", "source").agg(F.max("copies").alias("__copies"))
-    mixed = mixed.where("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("source").alias("__from"), "__copies")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__version"))
-    same = same & docs["source"].cast("string").eqNullSafe(F.col("__from"))
-    columns = [docs[c] for c in docs.columns]
-    copies = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")
-    return docs.join(common.cut(mixed), same).select(*columns, copies).drop("__copy")
+    """The mix itself: every row of ``docs`` with all its columns, as often as it is taken.
+
+    Null texts and empty ones have no words and are taken like any other row; rows that are equal in doc_id,
+    text and source are taken alike.  A null source is a source of its own.  An empty table gives an empty one."""
+    ident, version, origin, copies, copy = common.free(docs, "id", "version", "origin", "copies", "copy")
+    mixed = mix(docs, **how).groupBy("doc_id", "version", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
+    mixed = common.cut(mixed.select(F.col("doc_id").alias(ident), F.col("version").alias(version), F.col("source").alias(origin), F.col("copies").cast("int").alias(copies)))
+    same = docs["doc_id"].cast("long").eqNullSafe(mixed[ident]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == mixed[version])
+    same = same & docs["source"].cast("string").eqNullSafe(mixed[origin])
+    return docs.join(mixed, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
 
 def op3_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:

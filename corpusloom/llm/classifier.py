@@ -225,7 +225,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold.
+
+    Null and empty texts have the score of a text without words; repeated rows stay or go together; an empty table
+    gives an empty one."""
     place = docs.columns.index("text")
 
     def run(batches):

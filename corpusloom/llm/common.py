@@ -35,6 +35,12 @@ def cut(df: DataFrame, large: bool = False) -> DataFrame:
     return kept
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Takes away a folder of intermediate rows, whatever store it is in."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
@@ -51,6 +57,17 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def byte_batches(batches, limit: int, column: str = "text"):
     """Cuts Arrow batches into runs of rows whose texts hold at most ``limit`` bytes (one row at least)."""
     for batch in batches:

@@ -176,7 +176,9 @@ def members(links: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group that links of texts connect whose sets of shingles have a Jaccard
     similarity of at least this: the row of the smallest doc_id (a null one comes last), and of the smallest
-    text hash among equal identifiers.  Texts without words are copies of each other."""
+    text hash among equal identifiers.  Texts without words, null ones included, are copies of each other.  Of rows with
+    equal identifier and text that with the least hash of its columns stays.  An empty table gives an empty one;
+    further columns, whatever their names, stay as they are."""
     prints = common.cut(sketches(docs, words))
     best = prints.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "fp", "keys")).alias("best"))
     distinct = common.cut(best.select("content", "best.*"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -241,17 +242,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def first_rows(docs: DataFrame, prints: DataFrame, named: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the least (last, doc_id, version) of each ``root`` of ``named``; ``prints`` has (doc_id, version) of every row."""
+    """The row of ``docs`` with the least (last, doc_id, version) of each ``root`` of ``named``; ``prints`` has (doc_id, version)
+    of every row.  Of several such rows, that with the least hash of all its columns; of equal ones, one."""
+    ident, version, rows, whole, own = common.free(docs, "id", "version", "rows", "whole", "own")
     keepers = named.groupBy("root").agg(F.min(F.struct("last", "doc_id", "version")).alias("keep"))
-    keepers = keepers.select(F.col("keep.doc_id").alias("__id"), F.col("keep.version").alias("__version"))
-    copies = prints.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("__rows")).select(F.col("doc_id").alias("__own"), F.col("version").alias("__v"), "__rows")
-    keepers = common.cut(keepers.join(copies, F.col("__id").eqNullSafe(F.col("__own")) & (F.col("__version") == F.col("__v"))).select("__id", "__version", "__rows"))
+    keepers = keepers.select(F.col("keep.doc_id").alias("doc_id"), F.col("keep.version").alias("version"))
+    copies = prints.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("own_id"), F.col("version").alias("own_version"), "rows")
+    keepers = keepers.join(copies, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("version") == F.col("own_version")))
+    keepers = common.cut(keepers.select(F.col("doc_id").alias(ident), F.col("version").alias(version), F.col("rows").alias(rows)))
     id_now, version_now = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(keepers, id_now.eqNullSafe(F.col("__id")) & (version_now == F.col("__version")))
-    columns = [docs[c] for c in docs.columns]
-    single = kept.where("__rows = 1").select(*columns)
-    # rows repeated as a whole: one of them stays
-    return single.unionByName(kept.where("__rows > 1").dropDuplicates(["__id", "__version"]).select(*columns))
+    kept = docs.join(keepers, id_now.eqNullSafe(keepers[ident]) & (version_now == keepers[version]))
+    single = kept.where(F.col(rows) == 1).select(*docs.columns)
+    hashed = [F.to_json(c) if isinstance(docs.schema[c].dataType, T.MapType) else F.col(c) for c in docs.columns]
+    several = kept.where(F.col(rows) > 1).select(ident, version, F.xxhash64(*hashed).alias(own), F.struct(*docs.columns).alias(whole))
+    one = several.groupBy(ident, version).agg(F.min_by(whole, own).alias(whole))
+    return single.unionByName(one.select(*(F.col(whole)[c].alias(c) for c in docs.columns)))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,13 +238,15 @@ def resolve(snippets: DataFrame, unit: repeats.Unit) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with all their columns, the text without the bytes that a repeated string covers, as UTF-8.
 
-    Removal can cut a character in two; what is left of one is removed as well.  A null text stays null.
+    Removal can cut a character in two; what is left of one is removed as well.  A null text stays null, an
+    empty one empty.  Repeated rows repeat each other.  An empty table gives an empty one.
     ``n_chars``, where it is a column, is the new text's."""
     keyed = repeats.keyed(docs)
-    found = repeats.marks(keyed, repeats.Bytes(gram, length), resolve).select(F.col("row").alias("__row"), F.col("version").alias("__version"), F.col("stretches").alias("__stretches"))
+    row, version, stretches = common.free(docs, "row", "version", "stretches")
+    found = repeats.marks(keyed, repeats.Bytes(gram, length), resolve).select(F.col("row").alias(row), F.col("version").alias(version), F.col("stretches").alias(stretches))
     text = F.coalesce(docs["text"], F.lit(""))
-    joined = docs.join(found, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__row")) & (F.xxhash64(text) == F.col("__version")), "left")
-    joined = joined.select(*(docs[c] for c in docs.columns), "__stretches")
+    joined = docs.join(found, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == found[row]) & (F.xxhash64(text) == found[version]), "left")
+    joined = joined.select(*docs.columns, stretches)
     place, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):

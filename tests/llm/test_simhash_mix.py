@@ -1,15 +1,18 @@
 """Fingerprints and components against all pairs; the mix by its balance; the pipeline's stages."""
 
 import random
+from hashlib import sha256
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
-from corpusloom.llm import balanced, simhash
+from corpusloom.llm import balanced, common, near_copies, simhash, suffix_array
 
 from .fixtures import SCHEMA, collected, corpus, frame, texts
+from .test_repeats import covered
 
 
 def plain(text):
@@ -169,6 +172,7 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     kept = docs
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [(r["text"] or "").encode() for r in kept.collect()]
         stage(spark, kept, str(tmp_path)).write.parquet(str(tmp_path / f"s{k}"))
         after = spark.read.parquet(str(tmp_path / f"s{k}"))
         if k < 4:
@@ -179,8 +183,41 @@ def test_pipeline(spark, tmp_path):
             prints = [plain((r["text"] or "").encode()) for r in kept.collect()]
             assert after.count() == len(set(components(prints).values()))
         if k == 2:
-            assert after.count() == kept.count()
+            want = [bytes(c for c, g in zip(t, m, strict=True) if not g).decode(errors="ignore") for t, m in zip(before, covered(before, 200), strict=True)]
+            assert sorted(r["text"] or "" for r in after.collect()) == sorted(want)
         if k == 3:
             assert after.exceptAll(kept.select("*").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).drop("n")).count() == 0
+        if k == 4:
+            library = SentencePieceProcessor(model_file=common.tokenizer_path("piece_bpe_32k.model"))
+            ids = [[*library.encode(t.decode()), library.eos_id()] for t in before]
+            assert sorted((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in after.collect()) == sorted((len(i), sha256(" ".join(map(str, i)).encode()).hexdigest(), sha256(library.decode(i).encode()).hexdigest()) for i in ids)
         kept = after
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept.count()
+    assert sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(repr, kept.collect()))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names_and_rows_that_differ_in_other_columns(spark):
+    """Helper columns never meet those of the documents, and the row that stays is the same however rows are dealt."""
+    schema = "doc_id long, text string, source string, id long, Version string, rows int, whole string, own int, copies int, copy int, origin string, row int, stretches string"
+    long = "some words that repeat here and there " * 12
+    rows = [(1, long, s, 9, "v", 1, "w", 2, 3, 4, "o", 5, s) for s in ("b", "a", None, "c")] + [(2, "quite another text", "b", 1, "v", 1, "w", 2, 3, 4, "o", 5, "x"), (None, None, None, None, None, None, None, None, None, None, None, None, None)]
+    found = set()
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, schema).repartition(3)
+        kept = near_copies.one_of_each(docs)
+        assert kept.columns == docs.columns and kept.count() == 3
+        found.add(tuple(sorted(map(repr, kept.collect()))))
+        assert {repr(r) for r in kept.collect()} <= {repr(r) for r in docs.collect()}
+        assert simhash.one_of_each(docs).count() == 3
+        cut = suffix_array.without_repeats(docs)
+        assert cut.columns == docs.columns and sorted(str(r["text"]) for r in cut.collect())[:2] == ["", ""]
+        taken = balanced.take(docs)
+        assert taken.columns == docs.columns and {repr(r) for r in taken.collect()} <= {repr(r) for r in docs.collect()}
+    assert len(found) == 1
