@@ -50,10 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written as Parquet and read again."""
-    docs = common.documents(spark, sf_dir)
+    """All stages over ``documents``; each one's rows are written as Parquet and read again.
+
+    What a stage has read is removed once its own rows are written; an empty table gives an empty one."""
+    docs, last = common.documents(spark, sf_dir), None
     for _, stage in STAGES:
         path = common.fresh_path(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            common.remove(spark, last)
+        last = path
     return docs
