@@ -5,14 +5,15 @@ over byte strings, and at each place the *longest* prefix that the trie holds is
 mapped form.  ``Normalizer`` records, for every byte of the normalised text, the source bytes it
 stems from.  Pieces, in order, tile the normalised text, so each is projected to a source span.
 
-Where the map is empty, texts are encoded and aligned unit by unit: a unit is a run of spaces and the
-word after it.  No piece of a model that splits at white space holds a space after another character, so
-merges never cross units and a bounded memo of units gives the library's ids and the normaliser's spans
-for the whole text.  Texts or models for which that doesn't hold go through both whole.
+Where the map is empty, texts are encoded unit by unit: a unit is a run of spaces and the word after it.
+No piece of a model that splits at white space holds a space after another character, so merges
+never cross units and a bounded memo of units gives the library's ids of the whole text.  Texts or models
+for which that doesn't hold go through the library whole.  Alignment is that of the whole text always.
 """
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import re
@@ -106,6 +107,8 @@ class Normalizer:
     def __call__(self, source: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Normalised bytes, and for each of them the first and the end byte of what it stems from."""
         space = SPACE.encode() if self.escapes else b" "
+        if not self.map.units and not self.trims:
+            return self._plain(source, space)
         out, begin, end = bytearray(), [], []
 
         def put(piece: bytes, a: int, b: int) -> None:
@@ -137,6 +140,13 @@ class Normalizer:
                 del out[-len(space) :], begin[-len(space) :], end[-len(space) :]
         return bytes(out), np.array(begin, np.int32), np.array(end, np.int32)
 
+    def _plain(self, source: bytes, space: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Without a map no prefix is replaced: every byte stands for itself, but for spaces."""
+        at = np.repeat(np.arange(len(source), dtype=np.int32), np.where(np.frombuffer(source, np.uint8) == 32, len(space), 1))
+        prefix = space if self.dummy_prefix and source else b""
+        none = np.zeros(len(prefix), np.int32)
+        return prefix + source.replace(b" ", space), np.concatenate([none, at]), np.concatenate([none, at + 1])
+
 
 class Codec:
     def __init__(self, name: str):
@@ -195,22 +205,15 @@ class Codec:
                 out.append([u[1:] for u in UNITS.findall(" " + text)] if "" in keys else keys)
         return out
 
-    def rate(self, keys: list[str]) -> list[tuple[int, bytes, bytes, bytes, bytes, int]]:
-        """Of each unit: number of ids, decimal ids, decoded text, first and end bytes of its pieces' spans from
-        the key's first byte on, and the key's bytes.  The normaliser aligns the key; the space before
-        it, which the key leaves out, is what its dummy prefix stands for: byte -1."""
+    def rate(self, keys: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+        """Of each unit: ids, decimal ids, decoded text."""
         out = []
         rows = self.model.encode(keys, num_threads=1)
         decoded = self.model.decode(rows, num_threads=1)
         for key, ids, text in zip(keys, rows, decoded, strict=True):
-            source = key.encode()
-            if key:
-                begin, end = self.spans(source, ids)
-                begin[0] = -1
-            else:  # a space alone
+            if not key:  # a space alone
                 ids, text = [self.lone_space], ""
-                begin, end = np.array([-1], np.int32), np.array([0], np.int32)
-            out.append((len(ids), (" ".join(map(str, ids)) + " ").encode(), (" " + text).encode(), begin.tobytes(), end.tobytes(), len(source)))
+            out.append((array.array("i", ids).tobytes(), (" ".join(map(str, ids)) + " ").encode(), (" " + text).encode()))
         return out
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
@@ -221,21 +224,17 @@ class Codec:
         tail = str(self.eos).encode()
         for text, keys in zip(texts, units, strict=True):
             if keys is None:
-                ids = self.model.encode(text)
-                begin, end = self.spans(text.encode(), ids)
-                n, said, decoded = len(ids), (" ".join(map(str, ids)) + " " * bool(ids)).encode(), self.model.decode([*ids, self.eos]).encode()
+                ids = np.array(self.model.encode(text), np.int32)
+                said, decoded = (" ".join(map(str, ids.tolist())) + " " * bool(len(ids))).encode(), self.model.decode([*ids.tolist(), self.eos]).encode()
             else:
                 long = [k for k in keys if len(k) > UNIT]
                 rest = dict(zip(long, self.rate(long), strict=True)) if long else {}
                 rows = [memo[k] if len(k) <= UNIT else rest[k] for k in keys]
-                n = sum(r[0] for r in rows)
+                ids = np.frombuffer(b"".join([r[0] for r in rows]), np.int32)
                 said = b"".join([r[1] for r in rows])
                 decoded = b"".join([r[2] for r in rows])[1:]
-                # a unit begins after the units before it and a space for each of them
-                first = np.cumsum([0] + [r[5] + 1 for r in rows[:-1]]) if rows else np.zeros(0, np.int64)
-                first = np.repeat(first, [r[0] for r in rows]).astype(np.int32)
-                begin = np.maximum(np.frombuffer(b"".join([r[3] for r in rows]), np.int32) + first, 0)  # at 0, there is no such space
-                end = np.frombuffer(b"".join([r[4] for r in rows]), np.int32) + first
+            n = len(ids)
+            begin, end = self.spans(text.encode(), ids)
             spans = np.stack([begin, end], 1).astype("<i4").tobytes() if n else b""
             out.append((n + 1, hashlib.sha256(said + tail).hexdigest(), hashlib.sha256(decoded).hexdigest(), zlib.crc32(spans)))
         return out

@@ -75,6 +75,23 @@ def test_normaliser_equals_the_library(rule):
         assert len(begin) == len(end) == len(normal) and (begin <= end).all() and (np.diff(begin) >= 0).all()
 
 
+def test_alignment_without_a_map_is_byte_by_byte():
+    own = pieces.codec("piece_bpe_32k.model")
+    for _, text in texts() + [(0, "é  日本 x ▁".encode()), (0, b" "), (0, b"a"), (0, b"")]:
+        normal, begin, end = own.normalizer(text)
+        assert normal.decode() == own.model.normalize(text.decode())
+        assert len(normal) == len(begin) == len(end)
+        at = 0
+        for k in range(len(text)):  # the dummy prefix stems from no byte, a space's three bytes from one
+            if k == 0:
+                assert begin[:3].tolist() == end[:3].tolist() == [0, 0, 0]
+                at = 3
+            wide = 3 if text[k] == 32 else 1
+            assert begin[at : at + wide].tolist() == [k] * wide and end[at : at + wide].tolist() == [k + 1] * wide
+            at += wide
+        assert at == len(normal)
+
+
 def test_tables_round_trip(spark, tmp_path):
     t = library("word_bpe_49k.json")
     rows = [(i, [*t.encode(x.decode(), add_special_tokens=False).ids, 1], struct.unpack(">q", xxhash.xxh64(x, 42).digest())[0]) for i, x in texts()]
