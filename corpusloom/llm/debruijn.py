@@ -34,42 +34,44 @@ def check_of(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "big", signed=True)
 
 
-STRETCHES = "anchor long, content long, at long, n long, edge long, head long, tail long, copies long, row long, version long, first long"
+RUNS = "anchor long, content long, branching boolean, copies long, n long, nodes array<long>, check long"
 
 
-def stretches_of(keyed_docs: DataFrame, contents: DataFrame, unit: repeats.Words) -> tuple[DataFrame, DataFrame]:
-    """Of contents (anchor, content, branching, copies, source), read at their sources: rows of STRETCHES, ``n`` edges
-    each from the ``at``-th of the content on, ``first``: the source's word they begin at; and (anchor, content, check)."""
-    names = [c.split()[0] for c in STRETCHES.split(", ")]
-    schema = pa.schema([(c, pa.int64()) for c in names] + [("check", pa.int64())])
+def runs_of(keyed_docs: DataFrame, contents: DataFrame, unit: repeats.Words) -> DataFrame:
+    """Of distinct runs (anchor, content, branching, copies, source), read at their sources: rows of RUNS.  ``nodes``: of a
+    branching anchor's run, its nodes in order; else the first and the last one, with ``n`` edges between them."""
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("branching", pa.bool_()), ("copies", pa.int64()), ("n", pa.int64()), ("nodes", pa.list_(pa.int64())), ("check", pa.int64())])
 
     def run(batches):
         for batch in common.byte_batches(batches, repeats.BATCH_BYTES):
-            for row, version, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out = []
+            for text, wanted in zip(common.as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words = text.split()
-                codes = unit.codes(unit.symbols(text))
-                out = []
+                nodes = anchors.window_hashes(unit.codes(unit.symbols(text)), unit.span - 1).view(np.int64)
                 for w in wanted:
                     start, n, _ = repeats.unpacked(w["spot"])
-                    part = codes[start : start + n + unit.span - 1]
-                    nodes = anchors.window_hashes(part, unit.span - 1).view(np.int64).tolist()
-                    edges = anchors.window_hashes(part, unit.span).view(np.int64).tolist() if w["branching"] else [w["content"]]
-                    check = check_of(words[start : start + n + unit.span - 1])
-                    step = 1 if w["branching"] else n
-                    for k, edge in enumerate(edges):
-                        out.append((w["anchor"], w["content"], k, step, edge, nodes[k], nodes[k + step], w["copies"], row, version, start + k, None if k else check))
+                    own = nodes[start : start + n + 1] if w["branching"] else nodes[[start, start + n]]
+                    out.append((w["anchor"], w["content"], w["branching"], w["copies"], n, own, check_of(words[start : start + n + unit.span - 1])))
+            if out:
                 yield common.record(schema, *map(list, zip(*out, strict=True)))
 
     sources = repeats.wanted_by_source(contents, "branching", "copies")
-    texts = keyed_docs.select("row", "version", F.col("text").cast("binary").alias("text"))
-    found = common.cut(texts.join(sources, ["row", "version"]).select("row", "version", "text", "wanted").mapInArrow(run, STRETCHES + ", check long"), True)
-    return found.select(*names), found.where("check is not null").select("anchor", "content", "check")
+    return common.cut(keyed_docs.select("row", "version", "text").join(sources, ["row", "version"]).select("text", "wanted").mapInArrow(run, RUNS), True)
+
+
+def edges_of(runs: DataFrame) -> DataFrame:
+    """(anchor, content, copies, at, n, head, tail): the edges of runs, one by one or as one stretch of ``n``, from the
+    ``at``-th on.  An edge is its nodes: the first and the last 34 of its 35 words are all of them."""
+    at = F.transform("nodes", lambda x, i: F.struct(i.cast("long").alias("at"), x.alias("head"), F.get(F.col("nodes"), i + 1).alias("tail")))
+    rows = runs.select("anchor", "content", "copies", F.when(F.col("branching"), F.lit(1)).otherwise(F.col("n")).cast("long").alias("n"), F.explode(F.slice(at, F.lit(1), F.size("nodes") - 1)).alias("e"))
+    return rows.select("anchor", "content", "copies", "e.at", "n", "e.head", "e.tail")
 
 
-def graph(stretches: DataFrame) -> DataFrame:
-    """(id, anchor, edge, n, head, tail, copies, source) of every edge, or stretch of edges, that occurs twice or more."""
-    edges = stretches.groupBy("anchor", "edge", "n", "head", "tail").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "version", "first")).alias("source")).where("copies > 1")
-    return common.cut(edges.select(F.xxhash64("anchor", "edge", "n", "head", "tail").alias("id"), "*"))
+def graph(runs: DataFrame) -> DataFrame:
+    """(id, anchor, n, head, tail, copies) of every edge, or stretch of edges, that occurs twice or more."""
+    ways = edges_of(runs.where("branching")).groupBy("anchor", "n", "head", "tail").agg(F.sum("copies").alias("copies")).where("copies > 1")
+    straight = edges_of(runs.where("not branching")).select("anchor", "n", "head", "tail", "copies")
+    return common.cut(ways.unionByName(straight).select(F.xxhash64("anchor", "n", "head", "tail").alias("id"), "*"))
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -104,42 +106,50 @@ class Graph:
         self.unit = unit
         self.occurrences = repeats.occurrences_of(keyed_docs, unit, repeats.shared_anchors(keyed_docs, unit).select("anchor", "branching"))
         found = self.occurrences.groupBy("anchor", "content", "branching").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "version", "spot")).alias("source"))
-        self.stretches, self.checks = stretches_of(keyed_docs, common.cut(found, True), unit)
-        self.edges = graph(self.stretches)
-        self.paths = common.cut(compacted(self.edges))
+        self.contents = common.cut(found, True)
+        self.runs = runs_of(keyed_docs, self.contents, unit)
+        edges = graph(self.runs)
+        #: Edges with their path and the k-mers of the path before them.
+        self.edges = common.cut(edges.join(compacted(edges), "id"))
+
+    def placed(self) -> DataFrame:
+        """(anchor, content, path, a, b, before): the stretches [a, b) of windows that runs and paths have in common, and the
+        k-mers of the path before them."""
+        key = ["anchor", "n", "head", "tail"]
+        rows = edges_of(self.runs).join(self.edges.select(*key, "path", "before"), key)
+        # edges of one path that follow each other make one stretch; a run is shorter than a gap would be
+        along = rows.groupBy("anchor", "content", "path", (F.col("before") - F.col("at")).alias("shift"))
+        return along.agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("n")).alias("b")).select("anchor", "content", "path", "a", "b", (F.col("shift") + F.col("a")).alias("before"))
 
     def passages(self) -> DataFrame:
         """(path, words, copies, row, version, first): the nonbranching paths as repeated passages: their words, the least
-        number of times that a k-mer of theirs occurs, and the place of their first word."""
-        rows = self.edges.join(self.paths, "id")
-        ends = rows.groupBy("path").agg((F.sum("n") + self.unit.span - 1).alias("words"), F.min("copies").alias("copies"))
-        return ends.join(self.edges.select(F.col("id").alias("path"), "source"), "path").select("path", "words", "copies", "source.*")
+        number of times that a k-mer of theirs occurs, and a place of their first word."""
+        ends = self.edges.groupBy("path").agg((F.sum("n") + self.unit.span - 1).alias("words"), F.min("copies").alias("copies"))
+        start, _, _ = repeats.unpacked_columns("source.spot")
+        heads = self.placed().where("before = 0").join(self.contents, ["anchor", "content"])
+        places = heads.groupBy("path").agg(F.min(F.struct("source.row", "source.version", (start + F.col("a")).alias("first"))).alias("at"))
+        return ends.join(places, "path").select("path", "words", "copies", "at.*")
 
     def hits(self) -> DataFrame:
         """(row, version, hits): for each row with repeats its runs that hold stretches of paths: the first word, number of
-        words, check of these and stretches of repeated windows in the run."""
-        key = ["anchor", "edge", "n", "head", "tail"]
-        placed = self.stretches.join(self.edges.select("id", *key), key).join(self.paths, "id")
-        # edges of one path that follow each other make one stretch; a run is shorter than a gap would be
-        along = placed.groupBy("anchor", "content", "path", (F.col("before") - F.col("at")).alias("shift")).agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("n")).alias("b"))
-        windows = along.groupBy("anchor", "content").agg(F.collect_list(F.array("a", "b")).alias("windows"))
-        windows = common.cut(windows.join(self.checks, ["anchor", "content"]))
+        words, check of these and stretches of repeated windows in the run, as begin << 12 | end."""
+        windows = self.placed().groupBy("anchor", "content").agg(F.collect_list(F.shiftleft("a", 12) + F.col("b")).alias("windows"))
+        windows = common.cut(windows.join(self.runs.select("anchor", "content", "check"), ["anchor", "content"]))
         start, n, _ = repeats.unpacked_columns("spot")
         rows = self.occurrences.join(windows, ["anchor", "content"]).select("row", "version", F.struct(start.alias("first"), (n + F.lit(self.unit.span - 1)).alias("words"), "check", "windows").alias("hit"))
         return rows.groupBy("row", "version").agg(F.collect_list("hit").alias("hits"))
 
 
-def removed(words: list[bytes], hits: list[dict] | None, window: int) -> np.ndarray | None:
+def removed(words: list[bytes], hits: pa.StructArray, window: int) -> np.ndarray:
     """Mask of the words that repeated windows cover; each hit's words are held against those of its source."""
-    if not hits:
-        return None
-    pairs = []
-    for hit in hits:
-        first = hit["first"]
-        if check_of(words[first : first + hit["words"]]) != hit["check"]:
+    first = hits.field("first").to_numpy()
+    for at, size, check in zip(first.tolist(), hits.field("words").to_pylist(), hits.field("check").to_pylist(), strict=True):
+        if check_of(words[at : at + size]) != check:
             raise ValueError("two different passages have the same hashes")
-        pairs += [[first + a, first + b + window - 1] for a, b in hit["windows"]]
-    return repeats.covered(pairs, len(words))
+    windows = hits.field("windows")
+    at = np.repeat(first, windows.value_lengths().to_numpy())
+    packed = windows.flatten().to_numpy()
+    return repeats.covered(np.stack([at + (packed >> 12), at + (packed & 4095) + window - 1], 1), len(words))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -160,11 +170,11 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
     def run(batches):
         for batch in common.byte_batches(batches, repeats.BATCH_BYTES):
-            out = []
-            for text, hits in zip(common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            out, hits = [], batch.column(2)
+            for i, text in enumerate(common.as_bytes(batch.column(1))):
                 kept = words = text.split()
-                gone = removed(words, hits, window)
-                if gone is not None:
+                if hits[i].is_valid:
+                    gone = removed(words, hits[i].values, window)
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield common.record(SCHEMA, batch.column(0), *map(list, zip(*out, strict=True)))

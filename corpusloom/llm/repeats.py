@@ -301,8 +301,8 @@ def resolve_by_pieces(snippets: DataFrame, unit: Unit) -> DataFrame:
 def covered(stretches, size: int) -> np.ndarray:
     """Mask of the symbols that the stretches cover."""
     delta = np.zeros(size + 1, np.int32)
-    if stretches:
-        pairs = np.array(stretches, np.int64)
+    if len(stretches):
+        pairs = np.asarray(stretches, np.int64)
         np.add.at(delta, pairs[:, 0], 1)
         np.add.at(delta, pairs[:, 1], -1)
     return np.cumsum(delta[:-1]) > 0

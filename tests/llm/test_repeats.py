@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import debruijn, repeats, suffix_array
@@ -98,10 +99,11 @@ def test_paths(spark, case):
 
 def test_words_are_held_against_their_source():
     words = [b"a", b"b", b"c", b"d"]
-    hit = {"first": 1, "words": 3, "check": debruijn.check_of(words[1:]), "windows": [[0, 1]]}
-    assert debruijn.removed(words, [hit], 2).tolist() == [False, True, True, False] and debruijn.removed(words, None, 2) is None
+    hit = {"first": 1, "words": 3, "check": debruijn.check_of(words[1:]), "windows": [0 << 12 | 1, 1 << 12 | 2]}
+    hits = pa.array([hit])
+    assert debruijn.removed(words, hits, 2).tolist() == [False, True, True, True]
     with pytest.raises(ValueError):
-        debruijn.removed([b"a", b"b", b"x", b"d"], [hit], 2)
+        debruijn.removed([b"a", b"b", b"x", b"d"], hits, 2)
 
 
 def test_empty_table(spark):
