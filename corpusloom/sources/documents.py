@@ -1,8 +1,8 @@
 """Text and typed grids of attachments: a native choice by content type, one extraction for each content.
 
-Word and spreadsheet packages are read by the standard library.  PDF, TNEF and RTF need libraries that
-are not at hand, and get the status ``unsupported_format``.  Nothing here raises: a payload's failure is
-its status.
+Word and spreadsheet packages, rich text and mail containers are read by the standard library.  PDF needs a
+library that is not at hand, and gets the status ``unsupported_format``.  Nothing here raises: a payload's
+failure is its status.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.redact import redact
+from . import tnef
 from .charsets import decode
 from .markup import flatten
 from .messages import clean
+from .richtext import flatten_rtf
 
 # fixed values: bounds of what is parsed and stored
 PARSE_MAX = 50 << 20
@@ -34,6 +36,7 @@ SHOWN_ROWS, SHOWN_COLUMNS = 200, 50
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 XLSX = ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.ms-excel.sheet.macroenabled.12")
 RTF = ("text/rtf", "application/rtf")
+TNEF = ("application/ms-tnef", "application/vnd.ms-tnef")
 TEXT = ("application/json", "application/xml", "application/csv", "application/text", "message/rfc822")
 NO_DOCUMENT = (
     "application/zip application/x-zip-compressed application/x-rar-compressed application/vnd.rar application/x-7z-compressed application/gzip "
@@ -49,10 +52,11 @@ def route(content_type: Column, size: Column) -> Column:
         F.when(size == 0, "empty")
         .when(size > PARSE_MAX, "skipped_oversize")
         .when(t == "text/html", "html")
-        .when(t.isin(*RTF), "unsupported_format")
+        .when(t.isin(*RTF), "rtf")
         .when(t.startswith("text/") | t.isin(*TEXT), "text")
         .when(t == DOCX, "docx")
         .when(t.isin(*XLSX), "xlsx")
+        .when(t.isin(*TNEF), "tnef")
         .when(t.rlike("^(image|audio|video)/") | t.isin(*NO_DOCUMENT), "skipped_nondocument")
         .otherwise("unsupported_format")
     )
@@ -237,15 +241,54 @@ def cell(c, shared: list[str], formats: list[str], dated: list[bool], epoch: boo
     return {"ref": c.get("r"), "t": kind, "v": raw, "nf": None if shown == "General" else shown}
 
 
+def embedded(name: str, payload: bytes) -> tuple[str, bool]:
+    """A section for a file of a container, and whether it has text."""
+    head = payload[:4]
+    try:
+        if head == b"PK\x03\x04":
+            text = docx(payload)[0]
+        elif b"\0" in payload[:4096] or head in (b"\xd0\xcf\x11\xe0", b"\x78\x9f\x3e\x22", b"%PDF"):
+            return f"[embedded: {name}] [unsupported_format]", False
+        else:
+            text = decode(payload)
+            opening = text[:64].lstrip("\ufeff \t\r\n\v\f").lower()
+            if opening.startswith(("<html", "<!doctype")):
+                text = flatten(text)
+            elif opening.startswith("{\\rtf"):
+                text = flatten_rtf(text)
+            elif sum(c.isprintable() or c in "\t\n\r\v\f" for c in text) < 0.7 * len(text):
+                return f"[embedded: {name}] [unsupported_format]", False
+    except (Refused, KeyError, ElementTree.ParseError, zipfile.BadZipFile):
+        return f"[embedded: {name}] [unsupported_format]", False
+    text = clean(text)
+    return (f"[embedded: {name}]\n{text}", True) if text else (f"[embedded: {name}] [empty]", False)
+
+
+def container(payload: bytes) -> tuple[str, None]:
+    """Body and embedded files of a mail container, one level deep; '' if none of them has text."""
+    try:
+        body, _, files = tnef.contents(payload)
+    except ValueError as error:
+        raise Refused("corrupt", "tnef") from error
+    sections = [embedded(name, data) for name, data in files[: tnef.FILES_MAX]]
+    if not body and not any(has for _, has in sections):
+        return "", None
+    more = [f"[+{len(files) - tnef.FILES_MAX} more embedded files skipped]"] if len(files) > tnef.FILES_MAX else []
+    return "\n\n".join([x for x in [body] if x] + [s for s, _ in sections] + more), None
+
+
+#: How a payload is read: to its text and grid.
+READERS = {"text": lambda p: (decode(p), None), "html": lambda p: (flatten(decode(p)), None), "rtf": lambda p: (flatten_rtf(decode(p)), None), "docx": docx, "xlsx": xlsx, "tnef": container}
+
+
 def extract(way: str, payload: bytes) -> dict:
     """Fields of ``schemas.EXTRACTION``."""
     out = {"text": None, "status": way, "detail": None, "extractor": None, "version": None, "grid": None}
-    readers = {"text": lambda p: (decode(p), None), "html": lambda p: (flatten(decode(p)), None), "docx": docx, "xlsx": xlsx}
-    if way not in readers:
+    if way not in READERS:
         return out
     out |= {"extractor": f"corpusloom-{way}", "version": VERSION}
     try:
-        text, grid = readers[way](payload)
+        text, grid = READERS[way](payload)
     except Refused as refused:
         return out | {"status": refused.args[0], "detail": refused.args[1]}
     except Exception as error:  # a payload's own fault
@@ -270,7 +313,7 @@ def extracted(attachments: DataFrame) -> DataFrame:
     way = route(F.col("content_type"), F.col("size_bytes"))
     key = ["org_id", "content_hash", "way"]
     rows = attachments.withColumn("way", way)
-    once = rows.where(F.col("way").isin("text", "html", "docx", "xlsx")).select(*key, "payload").dropDuplicates(key)
+    once = rows.where(F.col("way").isin(*READERS)).select(*key, "payload").dropDuplicates(key)
     done = once.select(*key, _extract("way", "payload").alias("extraction"))
     none = F.struct(*(F.col("way").alias("status") if f == "status" else F.lit(None).cast(schemas.EXTRACTION[f].dataType).alias(f) for f in schemas.EXTRACTION.fieldNames()))
     return rows.drop("payload").join(done, key, "left").withColumn("extraction", F.coalesce("extraction", none)).drop("way")
