@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,14 +122,94 @@ class MaildirTransport:
     def sizes(self, folder: str, uids: list[int]) -> dict[int, int]:
         return {u: (self.root / folder / f"{u}.eml").stat().st_size for u in uids}
 
-    def fetch(self, folder: str, uids: list[int]) -> Iterator[tuple[int, bytes]]:
+    def fetch(self, folder: str, uids: list[int]) -> Iterator[tuple[int, bytes, datetime | None]]:
         for u in uids:
-            yield u, (self.root / folder / f"{u}.eml").read_bytes()
+            yield u, (self.root / folder / f"{u}.eml").read_bytes(), None
 
 
-TRANSPORTS["maildir"] = MaildirTransport
+def listed(item: bytes | tuple[bytes, bytes]) -> tuple[str, tuple[str, ...]] | None:
+    """Name and flags of a folder in a line of a LIST answer; None for what can't be selected or isn't such a line.
 
-SCHEMA = "folder string, uidvalidity long, uid long, raw binary"
+    A name comes quoted, bare, or, where it holds odd bytes, after the line by itself."""
+    line, literal = (item if isinstance(item, tuple) else (item, None)) or (b"", None)
+    found = re.match(rb'\s*\(([^)]*)\)\s+(?:NIL|"(?:[^"\\]|\\.)*")\s+(.*?)\s*$', line or b"", re.IGNORECASE | re.DOTALL)
+    if not found:
+        return None
+    flags = tuple(found[1].decode("latin-1").split())
+    if "\\noselect" in (f.lower() for f in flags):
+        return None
+    name = found[2] if literal is None else literal
+    if literal is None and len(name) > 1 and name[:1] == name[-1:] == b'"':
+        name = re.sub(rb"\\(.)", rb"\1", name[1:-1], flags=re.DOTALL)
+    return name.decode("latin-1"), flags
+
+
+def received_at(line: bytes) -> datetime | None:
+    """The server's date in a line of a FETCH answer, in UTC."""
+    found = re.search(rb'INTERNALDATE "([^"]+)"', line, re.IGNORECASE)
+    try:
+        return datetime.strptime(found[1].decode("ascii").strip(), "%d-%b-%Y %H:%M:%S %z").astimezone(UTC) if found else None
+    except ValueError:
+        return None
+
+
+def _connect(options: dict):
+    import imaplib
+
+    client = imaplib.IMAP4_SSL(options["host"], int(options.get("port", 993)))
+    client.login(options["user"], os.environ[options["passwordenv"]])
+    return client
+
+
+class ImapTransport:
+    """A mailbox on a server. Options: host, port, user, and ``passwordenv``, the environment variable with the password,
+    which is thus in no plan.  Nothing is marked as read.  What the server doesn't answer stays out, and so unsettled."""
+
+    def __init__(self, options: dict, connect: Callable = _connect):
+        self.client = connect(options)
+
+    def _select(self, folder: str) -> int | None:
+        """The folder's generation; None if it can't be selected or has none."""
+        quoted = folder.replace("\\", "\\\\").replace('"', '\\"')
+        try:
+            answer, _ = self.client.select(f'"{quoted}"'.encode("latin-1"), readonly=True)
+        except UnicodeEncodeError:
+            return None
+        _, values = self.client.response("UIDVALIDITY") if answer == "OK" else (None, None)
+        return int(values[0]) or None if values and values[0] else None
+
+    def _fetched(self, uids: list[int], what: str):
+        for part in compress(uids):
+            answer, items = self.client.uid("FETCH", part, what)
+            for item in items or [] if answer == "OK" else []:
+                line, data = item if isinstance(item, tuple) else (item, None)
+                if line and (uid := re.search(rb"\bUID (\d+)", line)):
+                    yield int(uid[1]), line, data
+
+    def folders(self) -> list[tuple[str, int, tuple[str, ...]]]:
+        answer, items = self.client.list()
+        found = [x for x in map(listed, items or []) if x] if answer == "OK" else []
+        return [(name, generation, flags) for name, flags in found if not is_blocked(decode_mutf7(name), flags) and (generation := self._select(name))]
+
+    def uids(self, folder: str, least: int) -> list[int]:
+        answer, items = self.client.uid("SEARCH", "UID", f"{least}:*") if self._select(folder) else (None, None)
+        # the last one is listed even if it is below
+        return sorted(u for u in map(int, items[0].split()) if u >= least) if answer == "OK" and items and items[0] else []
+
+    def sizes(self, folder: str, uids: list[int]) -> dict[int, int]:
+        self._select(folder)
+        return {uid: int(size[1]) for uid, line, _ in self._fetched(uids, "(UID RFC822.SIZE)") if (size := re.search(rb"RFC822\.SIZE (\d+)", line))}
+
+    def fetch(self, folder: str, uids: list[int]) -> Iterator[tuple[int, bytes, datetime | None]]:
+        self._select(folder)
+        for uid, line, data in self._fetched(uids, "(UID INTERNALDATE BODY.PEEK[])"):
+            if data is not None:
+                yield uid, data, received_at(line)
+
+
+TRANSPORTS |= {"maildir": MaildirTransport, "imap": ImapTransport}
+
+SCHEMA = "folder string, uidvalidity long, uid long, raw binary, internal_date timestamp"
 
 
 class Part(InputPartition):
@@ -144,8 +226,8 @@ class _Reading:
         return TRANSPORTS[self.options.get("transport", "maildir")](self.options)
 
     def read(self, part: Part):
-        for uid, raw in self.transport().fetch(part.folder, part.uids):
-            yield part.folder, part.generation, uid, raw
+        for uid, raw, at in self.transport().fetch(part.folder, part.uids):
+            yield part.folder, part.generation, uid, raw, at
 
     def folders(self, transport) -> list[tuple[str, int]]:
         return [(name, generation) for name, generation, flags in transport.folders() if not is_blocked(decode_mutf7(name), flags)]

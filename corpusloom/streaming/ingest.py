@@ -11,13 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.tables import first_by, insert_missing
+from ..operators.tables import first_by, insert_missing, upsert
 from ..sources import documents, messages
 from ..sources.snapshots import Table
 
 
+CURSOR = schemas.struct(org_id=schemas.S, connection_id=schemas.S, **{f.name: f.dataType for f in schemas.FOLDER_CURSOR.fields})
+FOLDER = ["org_id", "connection_id", "folder"]
+#: Failed identifiers that a cursor names; all of them are in ``sync_failure``.
+NAMED = 100
+
+
+def advanced(cursors: DataFrame, seen: DataFrame, failures: DataFrame) -> DataFrame:
+    """The next snapshot of the cursors after messages were ``seen``: a folder's cursor stands before its first failure,
+    which so is asked for again, and else at the last message; a new generation begins anew."""
+    top = seen.groupBy(*FOLDER).agg(F.max(F.struct("uidvalidity", "uid")).alias("top")).select(*FOLDER, F.col("top.uidvalidity").alias("uidvalidity"), F.col("top.uid").alias("top"))
+    before = cursors.select(*FOLDER, F.col("uidvalidity").alias("__was"), F.greatest("last_seen_uid", F.coalesce(F.array_max("failed_uids"), F.lit(0))).alias("__reached"), "last_seen_uid")
+    open_ = failures.groupBy(*FOLDER, "uidvalidity").agg(F.min("uid").alias("__first"), F.slice(F.sort_array(F.collect_set("uid")), 1, NAMED).alias("failed_uids"))
+    joined = top.join(before, FOLDER, "left").join(open_, [*FOLDER, "uidvalidity"], "left")
+    reached = F.greatest("top", F.when(F.col("__was") == F.col("uidvalidity"), F.col("__reached")))
+    moved = joined.select(*FOLDER, "uidvalidity", F.least(reached, F.col("__first") - 1).alias("last_seen_uid"), F.coalesce("failed_uids", F.array().cast("array<long>")).alias("failed_uids"))
+    return upsert(cursors, moved, FOLDER)
+
+
 def store(spark: SparkSession, root: str) -> dict[str, Table]:
-    kinds = {"email_message": schemas.EMAIL_MESSAGE, "email_recipient": schemas.EMAIL_RECIPIENT, "email_attachment": schemas.EMAIL_ATTACHMENT, "sync_failure": schemas.RAW_MESSAGE}
+    kinds = {"email_message": schemas.EMAIL_MESSAGE, "email_recipient": schemas.EMAIL_RECIPIENT, "email_attachment": schemas.EMAIL_ATTACHMENT, "sync_failure": schemas.RAW_MESSAGE, "sync_cursor": CURSOR}
     return {name: Table(spark, f"{root}/{name}", schema) for name, schema in kinds.items()}
 
 
@@ -47,12 +65,24 @@ def ingest_batch(tables: dict[str, Table], raw: DataFrame) -> dict[str, int]:
             for name, frame in (("email_recipient", out["email_recipient"].withColumn("person_id", F.lit(None).cast("string"))), ("email_attachment", stored), ("email_message", out["email_message"].withColumn("from_person_id", F.lit(None).cast("string")))):
                 held = tables[name].read().select("org_id", "id")
                 tables[name].append(frame.join(held, ["org_id", "id"], "left_anti"))
+        if counts["seen"]:  # last, and again with a batch that runs again
+            cursors = tables["sync_cursor"]
+            cursors.replace(advanced(cursors.read(), rows.select(*FOLDER, "uidvalidity", "uid"), tables["sync_failure"].read()))
         return {"seen": counts["seen"], "stored": n, "skipped": counts["seen"] - counts["failed"] - n, "failed": counts["failed"]}
     finally:
         fresh.unpersist()
         rows.unpersist()
 
 
+def settle(tables: dict[str, Table]) -> dict[str, int]:
+    """Takes in what failed before, once it can be parsed; the cursors then move on past it."""
+    held = tables["sync_failure"].read()  # this version stays readable
+    if held.isEmpty():
+        return {"seen": 0, "stored": 0, "skipped": 0, "failed": 0}
+    tables["sync_failure"].replace(parsed(held).where("m.parse_status = 'failed'").select(*schemas.RAW_MESSAGE.fieldNames()))
+    return ingest_batch(tables, held)
+
+
 def start(spark: SparkSession, raw_stream: DataFrame, root: str, checkpoint: str):
     """Starts the query; one query to a checkpoint and root is the single writer."""
     tables = store(spark, root)
