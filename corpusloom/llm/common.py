@@ -57,6 +57,41 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def table(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared folder, read back from there, and its path; columns take less room than a checkpoint's rows."""
+    path = fresh_path(df.sparkSession, kind)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables in the shared folder that are removed when the work they were for is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def keep(self, df: DataFrame, large: bool = True) -> DataFrame:
+        """Computed once, as a table. ``large`` as for ``cut``."""
+        kept, path = table(df, "scratch")
+        self.paths.append(path)
+        if large:
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+        return kept
+
+    def drop_last(self, n: int) -> None:
+        """Removes the table before the last ``n``, which no longer is read."""
+        remove(self.spark, self.paths.pop(-1 - n))
+
+
 def free(docs: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of ``docs`` has, in any case of letters."""
     taken = {c.lower() for c in docs.columns}

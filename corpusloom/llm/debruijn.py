@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import anchors, common, repeats
@@ -34,13 +34,15 @@ def check_of(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "big", signed=True)
 
 
-RUNS = "anchor long, content long, branching boolean, copies long, n long, nodes array<long>, check long"
+#: Anchors with more runs than this have their edges dealt one by one, others as a whole.
+HOT = 4096
+RUNS = "anchor long, content long, places long, branching boolean, copies long, n long, nodes array<long>, check long"
 
 
 def runs_of(keyed_docs: DataFrame, contents: DataFrame, unit: repeats.Words) -> DataFrame:
-    """Of distinct runs (anchor, content, branching, copies, source), read at their sources: rows of RUNS.  ``nodes``: of a
-    branching anchor's run, its nodes in order; else the first and the last one, with ``n`` edges between them."""
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("branching", pa.bool_()), ("copies", pa.int64()), ("n", pa.int64()), ("nodes", pa.list_(pa.int64())), ("check", pa.int64())])
+    """Of distinct runs (anchor, content, places, branching, copies, source), read at their sources: rows of RUNS.  ``nodes``:
+    of a branching anchor's run, its nodes in order; else the first and the last one, with ``n`` edges between them."""
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("places", pa.int64()), ("branching", pa.bool_()), ("copies", pa.int64()), ("n", pa.int64()), ("nodes", pa.list_(pa.int64())), ("check", pa.int64())])
 
     def run(batches):
         for batch in common.byte_batches(batches, repeats.BATCH_BYTES):
@@ -51,12 +53,12 @@ def runs_of(keyed_docs: DataFrame, contents: DataFrame, unit: repeats.Words) ->
                 for w in wanted:
                     start, n, _ = repeats.unpacked(w["spot"])
                     own = nodes[start : start + n + 1] if w["branching"] else nodes[[start, start + n]]
-                    out.append((w["anchor"], w["content"], w["branching"], w["copies"], n, own, check_of(words[start : start + n + unit.span - 1])))
+                    out.append((w["anchor"], w["content"], w["places"], w["branching"], w["copies"], n, own, check_of(words[start : start + n + unit.span - 1])))
             if out:
                 yield common.record(schema, *map(list, zip(*out, strict=True)))
 
-    sources = repeats.wanted_by_source(contents, "branching", "copies")
-    return common.cut(keyed_docs.select("row", "version", "text").join(sources, ["row", "version"]).select("text", "wanted").mapInArrow(run, RUNS), True)
+    sources = repeats.wanted_by_source(contents, "places", "branching", "copies")
+    return keyed_docs.select("row", "version", "text").join(sources, ["row", "version"]).select("text", "wanted").mapInArrow(run, RUNS)
 
 
 def edges_of(runs: DataFrame) -> DataFrame:
@@ -67,14 +69,19 @@ def edges_of(runs: DataFrame) -> DataFrame:
     return rows.select("anchor", "content", "copies", "e.at", "n", "e.head", "e.tail")
 
 
-def graph(runs: DataFrame) -> DataFrame:
-    """(id, anchor, n, head, tail, copies) of every edge, or stretch of edges, that occurs twice or more."""
-    ways = edges_of(runs.where("branching")).groupBy("anchor", "n", "head", "tail").agg(F.sum("copies").alias("copies")).where("copies > 1")
-    straight = edges_of(runs.where("not branching")).select("anchor", "n", "head", "tail", "copies")
-    return common.cut(ways.unionByName(straight).select(F.xxhash64("anchor", "n", "head", "tail").alias("id"), "*"))
+def repeated_edges(runs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(id, anchor, content, at, n, head, tail, times): the edges of runs, or stretches of edges, that occur twice or
+    more in all.  An edge's runs have one anchor, so dealt by anchor they are counted where they are."""
+    many = F.col("places") > hot
+    by_anchor = edges_of(runs.where(F.col("branching") & ~many).repartition("anchor"))
+    by_edge = edges_of(runs.where(F.col("branching") & many)).repartition("anchor", "head", "tail")
+    times = F.sum("copies").over(Window.partitionBy("anchor", "head", "tail"))
+    straight = edges_of(runs.where("not branching")).withColumn("times", F.col("copies"))
+    rows = straight.unionByName(by_anchor.withColumn("times", times)).unionByName(by_edge.withColumn("times", times)).where("times > 1")
+    return rows.select(F.xxhash64("anchor", "n", "head", "tail").alias("id"), "anchor", "content", "at", "n", "head", "tail", "times")
 
 
-def compacted(edges: DataFrame) -> DataFrame:
+def compacted(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(id, path, before) of each edge of a graph (id, n, head, tail): the first edge of its nonbranching path, and
     the number of k-mers of the path before it.
 
@@ -84,12 +91,15 @@ def compacted(edges: DataFrame) -> DataFrame:
     that still move stays the same, only cycles are left, and their edges stay paths of their own."""
     ins, outs = (edges.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias(f"{c}s"), F.min("id").alias(f"{c}_id"), F.min("n").alias(f"{c}_n")) for c in ("tail", "head"))
     single = ins.where("tails = 1").join(outs.where("heads = 1"), "node").where("tail_id <> head_id")
-    pointers = common.cut(single.select(F.col("head_id").alias("id"), F.col("tail_id").alias("path"), F.col("tail_n").alias("before")))
-    moving = None
+    pointers = scratch.keep(single.select(F.col("head_id").alias("id"), F.col("tail_id").alias("path"), F.col("tail_n").alias("before")))
+    moving, rounds = None, 0
     while True:
+        rounds += 1
         aim = pointers.select(F.col("id").alias("__id"), F.col("path").alias("__path"), F.col("before").alias("__before"))
         leaps = pointers.join(aim, F.col("path") == F.col("__id"), "left")
-        now = common.cut(leaps.select("id", F.coalesce("__path", "path").alias("path"), (F.col("before") + F.coalesce("__before", F.lit(0))).alias("before"), F.col("__id").isNotNull().alias("moved")))
+        leaps = leaps.select("id", F.coalesce("__path", "path").alias("path"), (F.col("before") + F.coalesce("__before", F.lit(0))).alias("before"), F.col("__id").isNotNull().alias("moved"))
+        now = scratch.keep(leaps, rounds % 4 == 0)
+        scratch.drop_last(1)
         left = now.where("moved").count()
         pointers = now.select("id", "path", "before")
         if left in (0, moving):
@@ -100,23 +110,23 @@ def compacted(edges: DataFrame) -> DataFrame:
 
 
 class Graph:
-    """The compacted graph of a corpus's repeated k-mers."""
-
-    def __init__(self, keyed_docs: DataFrame, unit: repeats.Words):
-        self.unit = unit
-        self.occurrences = repeats.occurrences_of(keyed_docs, unit, repeats.shared_anchors(keyed_docs, unit).select("anchor", "branching"))
-        found = self.occurrences.groupBy("anchor", "content", "branching").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "version", "spot")).alias("source"))
-        self.contents = common.cut(found, True)
-        self.runs = runs_of(keyed_docs, self.contents, unit)
-        edges = graph(self.runs)
-        #: Edges with their path and the k-mers of the path before them.
-        self.edges = common.cut(edges.join(compacted(edges), "id"))
+    """The compacted graph of a corpus's repeated k-mers, in tables of ``scratch``."""
+
+    def __init__(self, keyed_docs: DataFrame, unit: repeats.Words, scratch: common.Scratch):
+        self.unit, self.scratch, keep = unit, scratch, scratch.keep
+        self.occurrences = repeats.occurrences_of(keyed_docs, unit, repeats.shared_anchors(keyed_docs, unit, keep).select("anchor", F.col("n").alias("places"), "branching"), keep)
+        found = self.occurrences.groupBy("anchor", "content").agg(F.max("places").alias("places"), F.max("branching").alias("branching"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "version", "spot")).alias("source"))
+        self.contents = keep(found)
+        self.runs = keep(runs_of(keyed_docs, self.contents, unit))
+        self.ways = keep(repeated_edges(self.runs))
+        edges = keep(self.ways.select("id", "n", "head", "tail", F.col("times").alias("copies")).distinct(), False)
+        #: The graph's edges with their path and the k-mers of the path before them.
+        self.edges = keep(edges.join(compacted(edges, scratch), "id"))
 
     def placed(self) -> DataFrame:
         """(anchor, content, path, a, b, before): the stretches [a, b) of windows that runs and paths have in common, and the
         k-mers of the path before them."""
-        key = ["anchor", "n", "head", "tail"]
-        rows = edges_of(self.runs).join(self.edges.select(*key, "path", "before"), key)
+        rows = self.ways.select("id", "anchor", "content", "at", "n").join(self.edges.select("id", "path", "before"), "id")
         # edges of one path that follow each other make one stretch; a run is shorter than a gap would be
         along = rows.groupBy("anchor", "content", "path", (F.col("before") - F.col("at")).alias("shift"))
         return along.agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("n")).alias("b")).select("anchor", "content", "path", "a", "b", (F.col("shift") + F.col("a")).alias("before"))
@@ -134,7 +144,7 @@ class Graph:
         """(row, version, hits): for each row with repeats its runs that hold stretches of paths: the first word, number of
         words, check of these and stretches of repeated windows in the run, as begin << 12 | end."""
         windows = self.placed().groupBy("anchor", "content").agg(F.collect_list(F.shiftleft("a", 12) + F.col("b")).alias("windows"))
-        windows = common.cut(windows.join(self.runs.select("anchor", "content", "check"), ["anchor", "content"]))
+        windows = self.scratch.keep(windows.join(self.runs.select("anchor", "content", "check"), ["anchor", "content"]))
         start, n, _ = repeats.unpacked_columns("spot")
         rows = self.occurrences.join(windows, ["anchor", "content"]).select("row", "version", F.struct(start.alias("first"), (n + F.lit(self.unit.span - 1)).alias("words"), "check", "windows").alias("hit"))
         return rows.groupBy("row", "version").agg(F.collect_list("hit").alias("hits"))
@@ -158,8 +168,9 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 def passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(path, words, copies, doc_id, first): the repeated passages of ``docs`` (see ``Graph.passages``) with the document
     and place of their first word.  Null and short texts have none, an empty table gives an empty one."""
-    found = Graph(repeats.keyed(docs), repeats.Words(gram, window)).passages()
-    return found.select("path", "words", "copies", F.nullif("row", F.lit(-(1 << 63))).alias("doc_id"), "first")
+    with common.Scratch(docs.sparkSession) as scratch:
+        found = Graph(repeats.keyed(docs), repeats.Words(gram, window), scratch).passages()
+        return common.cut(found.select("path", "words", "copies", F.nullif("row", F.lit(-(1 << 63))).alias("doc_id"), "first"))
 
 
 def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -180,7 +191,9 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             yield common.record(SCHEMA, batch.column(0), *map(list, zip(*out, strict=True)))
 
     keyed = repeats.keyed(docs)
-    marked = keyed.join(Graph(keyed, repeats.Words(gram, window)).hits(), ["row", "version"], "left").select("doc_id", "text", "hits")
+    with common.Scratch(docs.sparkSession) as scratch:
+        hits, _ = common.table(Graph(keyed, repeats.Words(gram, window), scratch).hits(), "hits")
+    marked = keyed.join(hits, ["row", "version"], "left").select("doc_id", "text", "hits")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

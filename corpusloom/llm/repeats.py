@@ -105,7 +105,11 @@ def unpacked(spot):
     return spot >> 24, spot >> 12 & 4095, spot & 4095
 
 
-def shared_anchors(keyed_docs: DataFrame, unit: Unit) -> DataFrame:
+def large(df: DataFrame) -> DataFrame:
+    return common.cut(df, True)
+
+
+def shared_anchors(keyed_docs: DataFrame, unit: Unit, keep: Callable[[DataFrame], DataFrame] = large) -> DataFrame:
     """(anchor, n, branching, twice) of the anchors of several runs: n of them, ``branching`` if their contents
     differ, ``twice``: 44 bits of a content that occurs twice, where one showed."""
 
@@ -131,10 +135,10 @@ def shared_anchors(keyed_docs: DataFrame, unit: Unit) -> DataFrame:
         .where("n > 1")
         .select("anchor", "n", (F.col("least") != F.col("most")).alias("branching"), F.when(drawn(F.col("even")) == drawn(F.col("odd")), drawn(F.col("even"))).alias("twice"))
     )
-    return common.cut(found, True)
+    return keep(found)
 
 
-def occurrences_of(keyed_docs: DataFrame, unit: Unit, shared: DataFrame) -> DataFrame:
+def occurrences_of(keyed_docs: DataFrame, unit: Unit, shared: DataFrame, keep: Callable[[DataFrame], DataFrame] = large) -> DataFrame:
     """(row, version, spot, anchor, content) of the runs of shared anchors, with the anchors' columns."""
 
     def full(batches):
@@ -145,7 +149,7 @@ def occurrences_of(keyed_docs: DataFrame, unit: Unit, shared: DataFrame) -> Data
                 yield common.record(schema, *map(pa.array, (row[owner], version[owner], packed(start, n, rel), anchor, content)))
 
     runs = keyed_docs.select("row", "version", "text").mapInArrow(full, "row long, version long, spot long, anchor long, content long")
-    return common.cut(runs.join(shared, "anchor"), True)
+    return keep(runs.join(shared, "anchor"))
 
 
 def wanted_by_source(contents: DataFrame, *columns: str) -> DataFrame:

@@ -70,8 +70,9 @@ def paths_of(texts, k):
     return sorted((len(c) + k - 1, min(c)) for c in least.values())
 
 
-@pytest.mark.parametrize("case", ["passages", "branching", "cycle", "hot"])
-def test_paths(spark, case):
+@pytest.mark.parametrize(("case", "hot"), [("passages", 4096), ("branching", 4096), ("branching", 2), ("cycle", 4096), ("hot", 4096), ("hot", 20)])
+def test_paths(spark, monkeypatch, case, hot):
+    monkeypatch.setattr(debruijn.repeated_edges, "__defaults__", (hot,))
     r = random.Random(4)
     words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
     p, q = words(60), words(40)
