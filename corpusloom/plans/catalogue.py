@@ -793,7 +793,14 @@ def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", html_to_text("html").alias("text"))
 
 
-@query(None)
+_BODY = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), ' ' || chr(9) || chr(10))"
+_IDENT = "concat_ws('-', conv_id, turn) || '@x.org'"
+_IDENTITY = f"'sha256:' || sha256({_IDENT} || chr(0) || role || ' <' || role || '@x.org>' || chr(0) || 'Re: talk' || chr(0) || '2024-01-01T08:00:00+00:00' || chr(0) || 'to:own@x.org' || chr(0) || body || chr(0))"
+
+
+@query(
+    f"SELECT conv_id, turn, {_IDENTITY} AS dedup_key, {_IDENT} AS message_id, role || '@x.org' AS from_address, true AS is_reply, 'inbound' AS direction, CAST(len(regexp_extract_all(body, '[^ \\t\\n]+')) AS INTEGER) AS word_count, TIMESTAMP '2024-01-01 08:00:00' AS sent_at, 'parsed' AS parse_status FROM (SELECT *, {_BODY} AS body FROM conversations)"
+)
 def parse_eml(spark, sf):
     """Conversations as mail: each turn is a message, the parser reads it back."""
     from ..sources.messages import parse
