@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 import uuid
 
 import pyarrow as pa
@@ -23,15 +24,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame, large: bool = False) -> DataFrame:
-    """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors.
+#: Seconds between looks for files that are of no more use: short steps leave little.
+EVERY = 2.0
+_looked = 0.0
 
-    ``large``: what led to it was shuffled in the size of the corpus.  Those files are of no more use, and the
-    driver's collector is run so that Spark removes them now rather than at some later time."""
-    kept = checkpointed(df)
-    if large:
+
+def release(spark: SparkSession, large: bool) -> None:
+    """Runs the driver's collectors, so that Spark removes the shuffle files of steps that nothing points to any more
+    now rather than at some later time: after a ``large`` step, and if the last look was some time ago."""
+    global _looked
+    if large or time.monotonic() - _looked > EVERY:
         gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
+        spark.sparkContext._jvm.System.gc()
+        _looked = time.monotonic()
+
+
+def cut(df: DataFrame, large: bool = False) -> DataFrame:
+    """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors. ``large``: what led to it
+    was shuffled in the size of the corpus."""
+    kept = checkpointed(df)
+    release(df.sparkSession, large)
     return kept
 
 
@@ -81,10 +93,8 @@ class Scratch:
         """Computed once, as a table. ``large`` as for ``cut``."""
         kept, path = table(df, "scratch")
         self.paths.append(path)
-        if large:
-            del df
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
+        del df
+        release(self.spark, large)
         return kept
 
     def drop_last(self, n: int) -> None:
