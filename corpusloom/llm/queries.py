@@ -1,9 +1,11 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from . import quality_rules
+from . import block_max, divergence, quality_rules
 from .balanced import op3_balanced
+from .block_max import op13_block_max
 from .classifier import op10_classifier
 from .debruijn import op5_debruijn
+from .divergence import op12_divergence
 from .media import op1_media
 from .pieces import op6_sentencepiece
 from .quality_rules import op2_quality_rules
@@ -23,6 +25,8 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_simhash": op9_simhash,
     "op10_classifier": op10_classifier,
+    "op12_divergence": op12_divergence,
+    "op13_block_max": op13_block_max,
 }
 
-SQL: dict[str, str] = {"op2_quality_rules": quality_rules.sql()}
+SQL: dict[str, str] = {"op2_quality_rules": quality_rules.sql(), "op12_divergence": divergence.sql(), "op13_block_max": block_max.sql()}
