@@ -13,6 +13,7 @@ from .simhash import op9_simhash
 from .sstable import op4_sstable
 from .suffix_array import op8_suffix_array
 from .token_counts import op7_token_counts
+from .wrappers import op11_wrappers
 
 QUERIES = {
     "op1_media": op1_media,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_simhash": op9_simhash,
     "op10_classifier": op10_classifier,
+    "op11_wrappers": op11_wrappers,
     "op12_divergence": op12_divergence,
     "op13_block_max": op13_block_max,
 }
