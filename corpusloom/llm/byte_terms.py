@@ -8,6 +8,8 @@ grouped again under another seed, so that no collision ever joins two terms.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,19 +37,19 @@ LETTERS_AND_DIGITS = table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
 
 
 def slices(texts: list[bytes], members: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The buffer with A-Z lower-cased, and of each term its text's number, its begin and its end."""
-    buffer = b"\n".join(texts).translate(_LOWERED)
+    """The buffer with A-Z lower-cased and blanks between terms, and of each term its text's number, its begin and its end."""
+    lowered = np.frombuffer(_LOWERED, np.uint8)
+    buffer = b"\n".join(texts).translate(np.where(members, lowered, 32).astype(np.uint8).tobytes())
     inside = np.zeros(len(buffer) + 2, np.int8)
-    inside[1:-1] = members[np.frombuffer(buffer, np.uint8)]
+    inside[1:-1] = members[np.frombuffer(buffer, np.uint8)]  # lower case stays within the members
     edges = np.flatnonzero(np.diff(inside))
     begin, end = edges[::2], edges[1::2]
     starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
     return buffer, np.searchsorted(starts, begin, side="right") - 1, begin, end
 
 
-def hashes(buffer: bytes, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(buffer[a:b], seed) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(begin))
+def hashes(terms: list[bytes], seed: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms, repeat(seed)), np.uint64, len(terms))
 
 
 def unequal(data: np.ndarray, begin: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -59,18 +61,22 @@ def unequal(data: np.ndarray, begin: np.ndarray, size: np.ndarray, other: np.nda
 
 
 def grouped(buffer: bytes, begin: np.ndarray, end: np.ndarray, seed: int = 0, hashed=hashes) -> tuple[list[bytes], np.ndarray]:
-    """The distinct slices, and of each slice the number of its own among them."""
+    """The distinct slices, and of each slice the number of its own among them. ``buffer`` has blanks between the terms."""
+    return _grouped(buffer, buffer.split(), begin, end, seed, hashed)
+
+
+def _grouped(buffer, slices, begin, end, seed, hashed):
     if not len(begin):
         return [], np.zeros(0, np.int64)
     size, data = end - begin, np.frombuffer(buffer, np.uint8)
-    _, first, group = np.unique(hashed(buffer, begin, end, seed), return_index=True, return_inverse=True)
+    _, first, group = np.unique(hashed(slices, seed), return_index=True, return_inverse=True)
     of = first[group]
     wrong = size != size[of]
     right = np.flatnonzero(~wrong)
     wrong[right] = unequal(data, begin[right], size[right], begin[of[right]])
-    terms = [buffer[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+    terms = [slices[i] for i in first.tolist()]
     if wrong.any():
-        more, again = grouped(buffer, begin[wrong], end[wrong], seed + 1, hashed)
+        more, again = _grouped(buffer, [slices[i] for i in np.flatnonzero(wrong).tolist()], begin[wrong], end[wrong], seed + 1, hashed)
         group[wrong] = again + len(terms)
         terms += more
     return terms, group

@@ -99,24 +99,21 @@ def sums(source: np.ndarray, term: np.ndarray, p: np.ndarray, rest: np.ndarray,
         yield h, total, held[of] + held[h] - common_terms[of]
 
 
-def _pairs(key, entries: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
-    """Partial sums of a block and a pair of tiles."""
-    i, j = key[1], key[2]
-    names = sources["source"].drop_duplicates().sort_values(ignore_index=True)
-    sources = sources.drop_duplicates("source").set_index("source").loc[names]
-    number = {n: k for k, n in enumerate(names)}
-    total = sources["total"].to_numpy() + sources["v"].to_numpy()
+def _pairs(i: int, j: int, entries: pd.DataFrame, sources: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Partial sums of a block and a pair of tiles, in columns."""
+    sources = sources.drop_duplicates("source").sort_values("source")
+    names = sources["source"].to_numpy(object)
+    total = sources["total"].to_numpy(np.int64) + sources["v"].to_numpy(np.int64)
     rest = probabilities(np.ones(len(names), np.int64), total)
     tile = sources["tile"].to_numpy()
-    source = entries["source"].map(number).to_numpy(np.int64)
+    source = entries["source"].map({n: k for k, n in enumerate(names)}).to_numpy(np.int64)
     order = np.argsort(source, kind="stable")
     source, term = source[order], pd.factorize(entries["term"])[0][order]
     p = probabilities(entries["n"].to_numpy(np.int64)[order] + 1, total[source])
     of, to = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-    found = []
-    for h, value, terms in sums(source, term, p, rest, of, to):
-        found.append(pd.DataFrame({"source": names[of].to_numpy(), "item": names[h], "value": value, "terms": terms, "apart": distance(rest[of], rest[h])}))
-    return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("source", "item", "value", "terms", "apart")})
+    found = [(np.full(len(of), h), value, terms, distance(rest[of], rest[h])) for h, value, terms in sums(source, term, p, rest, of, to)]
+    item, value, terms, apart = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+    return {"source": np.tile(names[of], len(found)), "item": names[item], "value": value, "terms": terms, "apart": apart}
 
 
 def pairs(kept: DataFrame, groups: DataFrame, langs: DataFrame, block: int = BLOCK, tile: int = TILE) -> DataFrame:
@@ -136,8 +133,9 @@ def pairs(kept: DataFrame, groups: DataFrame, langs: DataFrame, block: int = BLO
     key = ["lang", "i", "j", "block"]
 
     def look(key, entries, sources):
-        rows = _pairs(key, entries, sources)
-        return rows.assign(lang=key[0], v=sources["v"].iloc[0] if len(sources) else 0)[["lang", "source", "item", "value", "terms", "apart", "v"]]
+        rows = _pairs(key[1], key[2], entries, sources)
+        n = len(rows["item"])
+        return pd.DataFrame({"lang": np.full(n, key[0], object), **rows, "v": np.full(n, sources["v"].iloc[0] if len(sources) else 0)}).astype({c: object for c in ("lang", "source", "item")})
 
     partial = cells.groupBy(*key).cogroup(names.groupBy(*key)).applyInPandas(look, "lang string, source string, item string, value long, terms long, apart long, v long")
     full = partial.where("source <> item").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"), F.max("apart").alias("apart"), F.max("v").alias("v"))
