@@ -58,7 +58,7 @@ def runs_of(keyed_docs: DataFrame, contents: DataFrame, unit: repeats.Words) ->
                 yield common.record(schema, *map(list, zip(*out, strict=True)))
 
     sources = repeats.wanted_by_source(contents, "places", "branching", "copies")
-    return keyed_docs.select("row", "version", "text").join(sources, ["row", "version"]).select("text", "wanted").mapInArrow(run, RUNS)
+    return repeats.looked_up(keyed_docs, sources).mapInArrow(run, RUNS)
 
 
 def edges_of(runs: DataFrame) -> DataFrame:
@@ -147,7 +147,8 @@ class Graph:
         windows = self.scratch.keep(windows.join(self.runs.select("anchor", "content", "check"), ["anchor", "content"]))
         start, n, _ = repeats.unpacked_columns("spot")
         rows = self.occurrences.join(windows, ["anchor", "content"]).select("row", "version", F.struct(start.alias("first"), (n + F.lit(self.unit.span - 1)).alias("words"), "check", "windows").alias("hit"))
-        return rows.groupBy("row", "version").agg(F.collect_list("hit").alias("hits"))
+        # repeated rows have the same runs: a set keeps one of each
+        return rows.groupBy("row", "version").agg(F.collect_set("hit").alias("hits"))
 
 
 def removed(words: list[bytes], hits: pa.StructArray, window: int) -> np.ndarray:

@@ -170,7 +170,7 @@ def marks(keyed_docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame, Unit]
     branching = occurrences.where("branching")
     contents = common.cut(branching.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "version", "spot")).alias("source"), F.max("n").alias("n")), True)
     sources = wanted_by_source(contents, "n", "copies")
-    snippets = common.cut(keyed_docs.select("row", "version", "text").join(sources, ["row", "version"]).select("text", "wanted").mapInArrow(_snippets(unit), SNIPPETS), True)
+    snippets = common.cut(looked_up(keyed_docs, sources).mapInArrow(_snippets(unit), SNIPPETS), True)
     resolved = common.cut(resolve(snippets, unit), True)
 
     start, n, _ = unpacked_columns("spot")
@@ -199,6 +199,13 @@ def resolve_by_windows(rows: DataFrame) -> DataFrame:
     return kept.select("anchor", "content", F.transform("w", lambda x: F.array(x, x + F.lit(1).cast("long"))).alias("stretches"))
 
 
+def looked_up(keyed_docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(text, wanted) of the rows that are sources, each once however often the row is repeated: whoever asks for
+    coordinates wants one answer."""
+    found = keyed_docs.select("row", "version", "text").join(sources, ["row", "version"])
+    return found.groupBy("row", "version").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")).select("text", "wanted")
+
+
 SNIPPETS = "anchor long, n long, content long, copies long, spot long, symbols binary"
 
 

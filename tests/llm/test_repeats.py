@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusloom.llm import debruijn, repeats, suffix_array
+from corpusloom.llm import common, debruijn, repeats, suffix_array
 
 from .fixtures import SCHEMA, collected, corpus, frame, texts
 
@@ -107,6 +107,24 @@ def test_words_are_held_against_their_source():
         debruijn.removed([b"a", b"b", b"x", b"d"], hits, 2)
 
 
+@pytest.mark.parametrize("doc_id", [3, None])
+def test_thousands_of_equal_rows(spark, doc_id):
+    r = random.Random(9)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(600))
+    rows = [(doc_id, text, "en", "s", 0, "r", 0, 0.5, "s", 0, "x")] * 2000 + [(1, text[: len(text) // 2], "en", "s", 0, "r", 0, 0.5, "s", 0, "x")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    with common.Scratch(spark) as scratch:
+        graph = debruijn.Graph(repeats.keyed(df), repeats.Words(debruijn.GRAM, debruijn.WINDOW), scratch)
+        runs = graph.contents.count()
+        assert graph.runs.count() == runs
+        assert graph.contents.agg({"copies": "max"}).first()[0] >= 2000
+        assert max(len(x["hits"]) for x in graph.hits().collect()) <= runs
+    got = debruijn.digests(df).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    half = len((text[: len(text) // 2]).split())
+    cut = 0 if text[len(text) // 2 - 1] == " " or text[len(text) // 2] == " " else 1
+    assert sorted(map(tuple, got), key=repr) == sorted([(doc_id, 600, 600, 2000), (1, half, half - cut, 1)], key=repr)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert suffix_array.digests(empty).count() == 0 == debruijn.digests(empty).count()
