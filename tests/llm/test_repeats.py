@@ -42,6 +42,15 @@ def test_bytes(spark, monkeypatch, largest):
     assert collected(suffix_array.digests(frame(spark))) == sorted(by_bytes(texts(), 200), key=repr)
 
 
+def test_part_of_a_hash_is_no_proof(spark):
+    """Contents that agree in the bits that are drawn, and not in all, are looked at."""
+    near = lambda low: (77 << 20) | low
+    rows = [(1, near(1), True, 77), (1, near(2), True, 77), (1, 5, True, 77), (2, near(1), True, 77), (2, near(1), True, 77), (2, 9, True, 77), (3, near(1), False, None)]
+    found = repeats.surely_told(spark.createDataFrame(rows, "anchor long, content long, branching boolean, twice long"))
+    assert collected(found.where("told"), "anchor", "content") == [(2, near(1))] * 2
+    assert found.count() == len(rows)
+
+
 def test_short_strings_and_parts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PART", 500)
     assert collected(suffix_array.digests(frame(spark), 40, 12)) == sorted(by_bytes(texts(), 40), key=repr)
