@@ -812,6 +812,44 @@ def parse_eml(spark, sf):
     return rows.select("conv_id", "turn", "m.dedup_key", "m.message_id", "m.from_address", "m.is_reply", "m.direction", "m.word_count", "m.sent_at", "m.parse_status")
 
 
+def _pdf(words, kind):
+    """A PDF of a turn, built by column functions: a word a line, its characters by a ``ToUnicode`` map; of other kinds the page
+    is a picture, blank, or locked."""
+    shown = F.array_join(F.transform(words, lambda w: F.concat(F.lit("<"), F.hex(F.encode(w, "UTF-16BE")), F.lit("> Tj T*"))), "\n")
+    drawn = F.when(kind == "scan", "q 600 0 0 800 0 0 cm /I Do Q").when(kind == "blank", "q Q").otherwise(F.concat(F.lit("BT /F 10 Tf 12 TL 40 780 Td\n"), shown, F.lit("\nET")))
+    cmap = "begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange endcmap"
+    objects = [
+        F.lit("<< /Type /Catalog /Pages 2 0 R >>"), F.lit("<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 600 800] >>"),
+        F.lit("<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F 5 0 R >> /XObject << /I 8 0 R >> >> >>"),
+        F.concat(F.lit("<< /Length "), F.octet_length(drawn).cast("string"), F.lit(" >> stream\n"), drawn, F.lit("\nendstream")),
+        F.lit("<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 6 0 R /DescendantFonts [7 0 R] >>"), F.lit(f"<< /Length {len(cmap)} >> stream\n{cmap}\nendstream"),
+        F.lit("<< /Type /Font /Subtype /CIDFontType2 /DW 500 >>"), F.lit("<< /Subtype /Image /Width 1 /Height 1 /Length 1 >> stream\n0\nendstream"),
+    ]
+    bodies = [F.concat(F.lit(f"{i} 0 obj\n"), body, F.lit("\nendobj\n")) for i, body in enumerate(objects, 1)]
+    locked = F.when(kind == "locked", "/Encrypt << /Filter /Standard /V 4 /R 4 >>").otherwise("")
+    return F.concat(F.lit("%PDF-1.5\n"), *bodies, F.lit("trailer << /Root 1 0 R /Size 9 "), locked, F.lit(" >>\n%%EOF")).cast("binary")
+
+
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x20\\x7F]+')"
+
+
+@query(
+    f"""SELECT conv_id, turn, kind, CASE WHEN kind = 'locked' THEN 'encrypted' WHEN kind = 'scan' THEN 'scanned_pending_ocr' WHEN kind = 'blank' OR len(words) = 0 THEN 'empty' ELSE 'extracted' END AS status,
+  CASE WHEN kind <> 'locked' THEN 1 END AS pages, CASE WHEN kind = 'text' AND len(words) > 0 THEN sha256(array_to_string(list_prepend('[page 1]', words), chr(10))) END AS text_sha256
+FROM (SELECT conv_id, turn, CASE WHEN turn = 0 AND conv_id % 5 = 1 THEN 'locked' WHEN turn = 0 AND conv_id % 5 = 2 THEN 'scan' WHEN turn = 0 AND conv_id % 5 = 3 THEN 'blank' ELSE 'text' END AS kind, {_WORDS} AS words FROM conversations)"""
+)
+def pdf_text(spark, sf):
+    """Conversations as PDF files, a turn each; some of the first turns are pictures, blank or locked."""
+    from ..sources.documents import pdf_text
+
+    first = lambda rest: (F.col("turn") == 0) & (F.col("conv_id") % 5 == rest)
+    kind = F.when(first(1), "locked").when(first(2), "scan").when(first(3), "blank").otherwise("text")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x00-\\x20\\x7F]+"), F.lit(0))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("kind"), words.alias("words"))
+    read = rows.select("conv_id", "turn", "kind", pdf_text(_pdf(F.col("words"), F.col("kind"))).alias("x"))
+    return read.select("conv_id", "turn", "kind", "x.status", "x.pages", F.sha2("x.text", 256).alias("text_sha256"))
+
+
 @query(None)
 def charset_repair(spark, sf):
     from ..sources.charsets import decode_chain

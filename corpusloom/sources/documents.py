@@ -1,8 +1,7 @@
 """Text and typed grids of attachments: a native choice by content type, one extraction for each content.
 
-Word and spreadsheet packages, rich text and mail containers are read by the standard library.  PDF needs a
-library that is not at hand, and gets the status ``unsupported_format``.  Nothing here raises: a payload's
-failure is its status.
+Word and spreadsheet packages, rich text, PDF and mail containers are read by the standard library.  Nothing here raises: a
+payload's failure is its status.
 """
 
 from __future__ import annotations
@@ -17,10 +16,11 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .. import schemas
 from ..functions.redact import redact
-from . import tnef
+from . import pdf, tnef
 from .charsets import decode
 from .markup import flatten
 from .messages import clean
@@ -36,6 +36,7 @@ SHOWN_ROWS, SHOWN_COLUMNS = 200, 50
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 XLSX = ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.ms-excel.sheet.macroenabled.12")
 RTF = ("text/rtf", "application/rtf")
+PDF = ("application/pdf", "application/x-pdf")
 TNEF = ("application/ms-tnef", "application/vnd.ms-tnef")
 TEXT = ("application/json", "application/xml", "application/csv", "application/text", "message/rfc822")
 NO_DOCUMENT = (
@@ -53,6 +54,7 @@ def route(content_type: Column, size: Column) -> Column:
         .when(size > PARSE_MAX, "skipped_oversize")
         .when(t == "text/html", "html")
         .when(t.isin(*RTF), "rtf")
+        .when(t.isin(*PDF), "pdf")
         .when(t.startswith("text/") | t.isin(*TEXT), "text")
         .when(t == DOCX, "docx")
         .when(t.isin(*XLSX), "xlsx")
@@ -241,13 +243,26 @@ def cell(c, shared: list[str], formats: list[str], dated: list[bool], epoch: boo
     return {"ref": c.get("r"), "t": kind, "v": raw, "nf": None if shown == "General" else shown}
 
 
+def portable(payload: bytes) -> tuple[str, None, tuple[str, str | None]]:
+    """Text of a PDF with its own verdict: status and detail."""
+    try:
+        text, status, detail, _ = pdf.read(payload, TEXT_MAX)
+    except pdf.Locked as error:
+        raise Refused("encrypted", f"pdf-{error}") from error
+    except pdf.Broken as error:
+        raise Refused("corrupt", f"pdf-{error}") from error
+    return text, None, (status, detail)
+
+
 def embedded(name: str, payload: bytes) -> tuple[str, bool]:
     """A section for a file of a container, and whether it has text."""
     head = payload[:4]
     try:
         if head == b"PK\x03\x04":
             text = docx(payload)[0]
-        elif b"\0" in payload[:4096] or head in (b"\xd0\xcf\x11\xe0", b"\x78\x9f\x3e\x22", b"%PDF"):
+        elif head == b"%PDF":
+            text = portable(payload)[0]
+        elif b"\0" in payload[:4096] or head in (b"\xd0\xcf\x11\xe0", b"\x78\x9f\x3e\x22"):
             return f"[embedded: {name}] [unsupported_format]", False
         else:
             text = decode(payload)
@@ -258,7 +273,7 @@ def embedded(name: str, payload: bytes) -> tuple[str, bool]:
                 text = flatten_rtf(text)
             elif sum(c.isprintable() or c in "\t\n\r\v\f" for c in text) < 0.7 * len(text):
                 return f"[embedded: {name}] [unsupported_format]", False
-    except (Refused, KeyError, ElementTree.ParseError, zipfile.BadZipFile):
+    except (Refused, KeyError, ValueError, TypeError, AttributeError, IndexError, ElementTree.ParseError, zipfile.BadZipFile):
         return f"[embedded: {name}] [unsupported_format]", False
     text = clean(text)
     return (f"[embedded: {name}]\n{text}", True) if text else (f"[embedded: {name}] [empty]", False)
@@ -277,8 +292,8 @@ def container(payload: bytes) -> tuple[str, None]:
     return "\n\n".join([x for x in [body] if x] + [s for s, _ in sections] + more), None
 
 
-#: How a payload is read: to its text and grid.
-READERS = {"text": lambda p: (decode(p), None), "html": lambda p: (flatten(decode(p)), None), "rtf": lambda p: (flatten_rtf(decode(p)), None), "docx": docx, "xlsx": xlsx, "tnef": container}
+#: How a payload is read: to its text and grid, and for some to a status and detail.
+READERS = {"text": lambda p: (decode(p), None), "html": lambda p: (flatten(decode(p)), None), "rtf": lambda p: (flatten_rtf(decode(p)), None), "docx": docx, "xlsx": xlsx, "pdf": portable, "tnef": container}
 
 
 def extract(way: str, payload: bytes) -> dict:
@@ -288,15 +303,17 @@ def extract(way: str, payload: bytes) -> dict:
         return out
     out |= {"extractor": f"corpusloom-{way}", "version": VERSION}
     try:
-        text, grid = READERS[way](payload)
+        text, grid, *verdict = READERS[way](payload)
     except Refused as refused:
         return out | {"status": refused.args[0], "detail": refused.args[1]}
     except Exception as error:  # a payload's own fault
         return out | {"status": "corrupt", "detail": f"{way}:{type(error).__name__}"}
     text = clean(text)
-    status = "empty" if not text else "truncated" if len(text) > TEXT_MAX else "extracted"
+    status, detail = verdict[0] if verdict else ("extracted" if text else "empty", None)
+    status = "truncated" if len(text) > TEXT_MAX else status
     text, secrets = redact(text[:TEXT_MAX])
-    return out | {"text": text or None, "status": status, "grid": grid, "detail": f"secrets_redacted={secrets}" if secrets else None}
+    found = [x for x in (detail, f"secrets_redacted={secrets}" if secrets else None) if x]
+    return out | {"text": text or None, "status": status, "grid": grid, "detail": "; ".join(found) or None}
 
 
 @F.pandas_udf(schemas.EXTRACTION)
@@ -305,6 +322,22 @@ def _extract(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
         yield pd.DataFrame([extract(w, p or b"") for w, p in zip(ways, payloads, strict=True)], columns=schemas.EXTRACTION.fieldNames())
 
 
+@F.pandas_udf(schemas.struct(text=schemas.S, status=schemas.S, pages=IntegerType()))
+def pdf_text(payloads: pd.Series) -> pd.DataFrame:
+    """Text, status and number of pages of PDF files, as they are: nothing is masked."""
+
+    def one(payload: bytes | None):
+        try:
+            text, status, _, pages = pdf.read(payload or b"", TEXT_MAX)
+        except pdf.Locked:
+            return None, "encrypted", None
+        except Exception:  # a payload's own fault
+            return None, "corrupt", None
+        return text or None, status, pages
+
+    return pd.DataFrame([one(p) for p in payloads], columns=["text", "status", "pages"]).astype({"pages": "Int32"})
+
+
 def extracted(attachments: DataFrame) -> DataFrame:
     """Attachments (id, org_id, content_hash, content_type, size_bytes, payload, ...) with an ``extraction``.
 

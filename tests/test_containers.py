@@ -84,5 +84,5 @@ def test_container():
 def test_routes(spark):
     kinds = ["text/rtf", "application/RTF", "application/ms-tnef", "application/vnd.ms-tnef", "application/pdf"]
     df = spark.createDataFrame([(k, 5) for k in kinds], "t string, n long")
-    assert [r[0] for r in df.select(documents.route(df["t"], df["n"])).collect()] == ["rtf", "rtf", "tnef", "tnef", "unsupported_format"]
+    assert [r[0] for r in df.select(documents.route(df["t"], df["n"])).collect()] == ["rtf", "rtf", "tnef", "tnef", "pdf"]
     assert documents.extract("rtf", rb"{\rtf1 x\par y}")["text"] == "x\ny" and documents.extract("rtf", rb"{\rtf1 }")["status"] == "empty"

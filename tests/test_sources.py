@@ -133,7 +133,7 @@ def test_extracted_and_grid_queries(spark):
     rows = [("1", "o", "h1", "text/plain", 3, bytearray(b"abc")), ("2", "o", "h1", "text/plain", 3, bytearray(b"abc")), ("3", "o", "h2", documents.XLSX[0].upper(), len(XLSX), bytearray(XLSX)), ("4", "o", "h3", "image/png", 2, bytearray(b"xx")), ("5", "o", "h4", "application/pdf", 2, bytearray(b"xx")), ("6", "o", "h5", "text/plain", 0, bytearray(b""))]
     df = documents.extracted(spark.createDataFrame(rows, "id string, org_id string, content_hash string, content_type string, size_bytes long, payload binary"))
     found = {r["id"]: r["extraction"]["status"] for r in df.collect()}
-    assert found == {"1": "extracted", "2": "extracted", "3": "extracted", "4": "skipped_nondocument", "5": "unsupported_format", "6": "empty"}
+    assert found == {"1": "extracted", "2": "extracted", "3": "extracted", "4": "skipped_nondocument", "5": "corrupt", "6": "empty"}
     cells = documents.cells(df.where("id = '3'").select("id", "extraction.grid"))
     assert cells.where("t = 'n'").agg(F.sum("number")).first()[0] == 5.5
     kinds = spark.createDataFrame([(bytearray(XLSX),), (bytearray(b"%PDF-1.4"),), (bytearray(b"hello"),), (bytearray(b"\0\1\2"),), (bytearray(b""),)], "x binary").select(messages.payload_kind(F.col("x")))
