@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.tables import insert_missing
-from .snapshots import Table
+from .snapshots import View
 
 
 def events(rows: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def events(rows: DataFrame) -> DataFrame:
 
 
 class AuditLog:
-    def __init__(self, table: Table):
+    def __init__(self, table: View):
         self.table = table
 
     def record_independently(self, rows: DataFrame) -> None:

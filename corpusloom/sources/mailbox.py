@@ -2,8 +2,9 @@
 
 ``EmlFiles`` reads a folder tree mailbox/folder/*.eml.  ``MailboxSource`` is a Python data source, batch
 and streaming, over a mailbox that a *transport* serves; its offsets are, for each folder, the generation
-and the last seen identifier.  A transport is any object with ``folders()``, ``uids(folder, least)``,
-``sizes(folder, uids)`` and ``fetch(folder, uids)``, made on the executors by a registered factory.
+and the last seen identifier.  A transport is any object with ``folders(wanted)``, ``uids(folder, wanted)``,
+``sizes(folder, uids)`` and ``fetch(folder, uids)``, made on the executors by a registered factory.  ``wanted`` is what the
+query's filters leave (see ``Wanted``): folders and identifiers that they exclude are neither opened nor listed, sized or fetched.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from datetime import UTC, datetime
+from dataclasses import dataclass, field
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
 from ..functions.texts import BLOCKED_FLAGS, BLOCKED_FOLDERS, is_blocked_folder
 
@@ -97,6 +99,83 @@ def _url(root: str) -> str:
     return root.rstrip("/") if "://" in root or root.startswith("file:") else "file:" + root.rstrip("/")
 
 
+@dataclass
+class Wanted:
+    """What filters leave of a mailbox: sets and prefixes of folders and generations, bounds of identifiers and of dates."""
+
+    names: set[str] | None = None
+    prefixes: list[str] = field(default_factory=list)
+    generations: set[int] | None = None
+    least: int = 1
+    most: int | None = None
+    uids: set[int] | None = None
+    since: datetime | None = None
+    before: datetime | None = None
+
+    def folder(self, name: str) -> bool:
+        return (self.names is None or name in self.names) and all(name.startswith(p) for p in self.prefixes)
+
+    def generation(self, number: int) -> bool:
+        return self.generations is None or number in self.generations
+
+    def uid(self, uid: int) -> bool:
+        return uid >= self.least and (self.most is None or uid <= self.most) and (self.uids is None or uid in self.uids)
+
+    @property
+    def empty(self) -> bool:
+        return self.most is not None and self.most < self.least or any(x is not None and not x for x in (self.names, self.generations, self.uids))
+
+    def take(self, f: Filter) -> bool:
+        """Takes a filter in; true if nothing of it is left to be looked at again."""
+        column = f.attribute if isinstance(f, IsNotNull | EqualTo | EqualNullSafe | In | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual | StringStartsWith) else None
+        if column not in (("folder",), ("uidvalidity",), ("uid",), ("internal_date",)):
+            return False
+        name = column[0]
+        if isinstance(f, IsNotNull):
+            return name != "internal_date"
+        if isinstance(f, StringStartsWith):
+            if name == "folder":
+                self.prefixes.append(f.value)
+            return name == "folder"
+        if isinstance(f, EqualTo | EqualNullSafe | In):
+            values = set(f.value) if isinstance(f, In) else {f.value}
+            values.discard(None)
+            if name == "internal_date":
+                if values:
+                    self._dates(min(values), max(values))
+                return False
+            slot = {"folder": "names", "uidvalidity": "generations", "uid": "uids"}[name]
+            known = getattr(self, slot)
+            setattr(self, slot, values if known is None else known & values)
+            return True
+        if f.value is None:
+            return False
+        above = isinstance(f, GreaterThan | GreaterThanOrEqual)
+        if name == "uid":
+            if above:
+                self.least = max(self.least, f.value + isinstance(f, GreaterThan))
+            else:
+                most = f.value - isinstance(f, LessThan)
+                self.most = most if self.most is None else min(self.most, most)
+            return True
+        if name == "internal_date":
+            self._dates(f.value if above else None, None if above else f.value)
+        return False
+
+    def _dates(self, since, before) -> None:
+        """Servers search by days, and by those of their own zone: a day more at both ends."""
+        plain = lambda x: x if x.tzinfo else x.replace(tzinfo=UTC)
+        if since is not None:
+            since = plain(since) - timedelta(days=1)
+            self.since = since if self.since is None else max(self.since, since)
+        if before is not None:
+            before = plain(before) + timedelta(days=2)
+            self.before = before if self.before is None else min(self.before, before)
+
+
+ALL = Wanted()
+
+
 #: Factories of transports by name: options -> transport. Register at import, so executors have them as well.
 TRANSPORTS: dict[str, Callable[[dict], object]] = {}
 
@@ -109,15 +188,15 @@ class MaildirTransport:
 
         self.root = pathlib.Path(options["root"])
 
-    def folders(self) -> list[tuple[str, int, tuple[str, ...]]]:
+    def folders(self, wanted: Wanted = ALL) -> list[tuple[str, int, tuple[str, ...]]]:
         found = []
-        for p in sorted(x for x in self.root.iterdir() if x.is_dir()):
+        for p in sorted(x for x in self.root.iterdir() if x.is_dir() and wanted.folder(x.name)):
             mark = p / ".uidvalidity"
             found.append((p.name, int(mark.read_text()) if mark.exists() else 1, ()))
         return found
 
-    def uids(self, folder: str, least: int) -> list[int]:
-        return sorted(u for p in (self.root / folder).glob("*.eml") if (u := int(p.stem)) >= least)
+    def uids(self, folder: str, wanted: Wanted = ALL) -> list[int]:
+        return sorted(u for p in (self.root / folder).glob("*.eml") if wanted.uid(u := int(p.stem)))
 
     def sizes(self, folder: str, uids: list[int]) -> dict[int, int]:
         return {u: (self.root / folder / f"{u}.eml").stat().st_size for u in uids}
@@ -153,6 +232,11 @@ def received_at(line: bytes) -> datetime | None:
         return None
 
 
+def _day(at: datetime) -> str:
+    """A day as searches name it, whatever the language of the machine."""
+    return f"{at.day}-{'Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec'.split()[at.month - 1]}-{at.year}"
+
+
 def _connect(options: dict):
     import imaplib
 
@@ -186,15 +270,21 @@ class ImapTransport:
                 if line and (uid := re.search(rb"\bUID (\d+)", line)):
                     yield int(uid[1]), line, data
 
-    def folders(self) -> list[tuple[str, int, tuple[str, ...]]]:
+    def folders(self, wanted: Wanted = ALL) -> list[tuple[str, int, tuple[str, ...]]]:
         answer, items = self.client.list()
-        found = [x for x in map(listed, items or []) if x] if answer == "OK" else []
+        found = [x for x in map(listed, items or []) if x and wanted.folder(x[0])] if answer == "OK" else []
         return [(name, generation, flags) for name, flags in found if not is_blocked(decode_mutf7(name), flags) and (generation := self._select(name))]
 
-    def uids(self, folder: str, least: int) -> list[int]:
-        answer, items = self.client.uid("SEARCH", "UID", f"{least}:*") if self._select(folder) else (None, None)
+    def uids(self, folder: str, wanted: Wanted = ALL) -> list[int]:
+        sets = compress(list(wanted.uids)) if wanted.uids is not None else [f"{wanted.least}:{wanted.most or '*'}"]
+        days = [x for key, day in (("SINCE", wanted.since), ("BEFORE", wanted.before)) if day for x in (key, _day(day))]
+        found: set[int] = set()
+        for part in sets if self._select(folder) else []:
+            answer, items = self.client.uid("SEARCH", "UID", part, *days)
+            if answer == "OK" and items and items[0]:
+                found |= set(map(int, items[0].split()))
         # the last one is listed even if it is below
-        return sorted(u for u in map(int, items[0].split()) if u >= least) if answer == "OK" and items and items[0] else []
+        return sorted(filter(wanted.uid, found))
 
     def sizes(self, folder: str, uids: list[int]) -> dict[int, int]:
         self._select(folder)
@@ -229,19 +319,35 @@ class _Reading:
         for uid, raw, at in self.transport().fetch(part.folder, part.uids):
             yield part.folder, part.generation, uid, raw, at
 
-    def folders(self, transport) -> list[tuple[str, int]]:
-        return [(name, generation) for name, generation, flags in transport.folders() if not is_blocked(decode_mutf7(name), flags)]
+    def folders(self, transport, wanted: Wanted = ALL) -> list[tuple[str, int]]:
+        found = [(name, generation) for name, generation, flags in transport.folders(wanted) if not is_blocked(decode_mutf7(name), flags)]
+        return [(name, generation) for name, generation in found if wanted.folder(name) and wanted.generation(generation)]
 
 
 class BatchReader(_Reading, DataSourceReader):
+    """Batches of the messages that the query's filters leave: filters on folder, generation and identifier are done with,
+    those on the date are narrowed to days and looked at again by Spark."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.wanted = Wanted()
+
+    def pushFilters(self, filters: list[Filter]):  # noqa: N802
+        return [f for f in filters if not self.wanted.take(f)]
+
     def partitions(self):
+        if self.wanted.empty:
+            return [Part("", 0, [])]
         transport, parts = self.transport(), []
-        for folder, generation in self.folders(transport):
-            uids = transport.uids(folder, 1)
+        for folder, generation in self.folders(transport, self.wanted):
+            uids = transport.uids(folder, self.wanted)
             sizes = transport.sizes(folder, uids)
             parts += [Part(folder, generation, b) for b in batches([(u, sizes.get(u)) for u in uids], self.budget)]
         return parts or [Part("", 0, [])]
 
+    def read(self, part: Part):
+        return super().read(part) if part.uids else iter(())
+
 
 class StreamReader(_Reading, DataSourceStreamReader):
     """Each trigger takes one batch of a budget of bytes from every folder."""
@@ -261,7 +367,7 @@ class StreamReader(_Reading, DataSourceStreamReader):
         transport, state = self.transport(), dict(self.seen)
         for folder, generation in self.folders(transport):
             least = self._after(state, folder, generation)
-            uids = transport.uids(folder, least)
+            uids = transport.uids(folder, Wanted(least=least))
             if uids:
                 sizes = transport.sizes(folder, uids)
                 state[folder] = [generation, batches([(u, sizes.get(u)) for u in uids], self.budget)[0][-1]]
@@ -275,7 +381,7 @@ class StreamReader(_Reading, DataSourceStreamReader):
         self.seen = {**self.seen, **after}
         parts = []
         for folder, (generation, last) in sorted(after.items()):
-            uids = [u for u in transport.uids(folder, self._after(before, folder, generation)) if u <= last]
+            uids = transport.uids(folder, Wanted(least=self._after(before, folder, generation), most=last))
             if uids:
                 parts.append(Part(folder, generation, uids))
         return parts or [Part("", 0, [])]
@@ -306,4 +412,6 @@ class MailboxSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known, and lets Spark hand filters to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MailboxSource)

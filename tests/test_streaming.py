@@ -143,7 +143,8 @@ def test_mailbox_on_a_server():
 
     t = mailbox.ImapTransport({}, lambda _: Server())
     assert [(n, g) for n, g, _ in t.folders()] == [("INBOX", 7), ('A "b"', 1)]
-    assert t.uids("INBOX", 2) == [3] and t.uids("INBOX", 9) == [] == t.uids("none", 1)
+    least = lambda n: mailbox.Wanted(least=n)
+    assert t.uids("INBOX", least(2)) == [3] and t.uids("INBOX", least(9)) == [] == t.uids("none", least(1))
     assert t.sizes("INBOX", [1, 3, 5]) == {1: 5, 3: 5}
     stamp = datetime.datetime(2024, 7, 17, 9, 44, 25, tzinfo=datetime.UTC)
     assert list(t.fetch("INBOX", [1, 2, 3])) == [(1, b"first", stamp), (3, b"third", stamp)] and t.client.asked[-1][0] == "1:3"
