@@ -3,9 +3,12 @@
 At a similarity of 0.8 two fingerprints of 64 bits differ at about ten bits, and no key of a fingerprint
 reaches that far.  So candidates are what SimHash links within its few bits, and besides what shares one of
 24 bands of six least values of the shingles' set: a pair at 0.8 shares none with a chance of 0.0007.
-Candidates only say which texts to look at together: a link counts after the sets have been compared.
-Work is done on distinct sets, candidates are linked to one head of each key rather than to each other, and
-groups above a bound are cut into blocks whose pairs are spread over tasks.
+A key says which texts to look at together: a link counts after the sets have been compared.
+
+1. Of each key all texts are held against one head.  A text goes to the heads it has, few of them different.
+   That joins a group of copies, however large, for the price of its size.
+2. Then only keys are left whose texts are in several groups.  There the texts of different groups are compared, all with
+   all; large groups fill blocks of their own, which are never paired with each other.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 WIDTH = 6
-#: Larger groups of candidates are cut into blocks of about this size.
+#: Texts that a task holds against a head, or in a block.
 BLOCK = 512
 #: Keys that a task remembers the head of.
 KEYS = 500_000
@@ -102,24 +105,61 @@ def shared_keys(distinct: DataFrame) -> DataFrame:
     return found.where("key is null").select("a", "b").unionByName(met)
 
 
-def near_prints(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) of contents by SimHash: by way of nodes that stand for fingerprints within its bits."""
-    node = lambda x: F.xxhash64(F.lit("fingerprint"), x)
+def near_prints(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of contents whose fingerprints SimHash links: pairs (a, b) along its links, and (content, key) with a key for all that
+    the links connect."""
     found = common.cut(simhash.links(distinct.select("fp").distinct()).distinct())
-    ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
-    held = distinct.join(ends, "fp", "left_semi").select(F.col("content").alias("a"), node("fp").alias("b"))
-    return held.unionByName(found.select(node("a").alias("a"), node("b").alias("b")))
+    of = distinct.groupBy("fp").agg(F.min("content").alias("content"))
+    end = lambda c: of.select(F.col("fp").alias(c), F.col("content").alias(f"{c}_content"))
+    pairs = found.join(end("a"), "a").join(end("b"), "b").select(F.col("a_content").alias("a"), F.col("b_content").alias("b"))
+    node = members(found).select(F.col("content").alias("fp"), F.xxhash64(F.lit("fingerprint"), "root").alias("key"))
+    return pairs, distinct.select("fp", "content").join(node, "fp").select("content", "key")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets are as similar as that."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if len(small) < similarity * len(large) - 1e-6:
+        return False
+    at = np.searchsorted(large, small)
+    both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
+    return both / (len(a) + len(b) - both) >= similarity
+
+
+def beside_heads(pairs: DataFrame, texts: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Those of the pairs (a, b) that are similar; ``texts``: (content, text). A head of many pairs is sent to several tasks."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        head = own = None
+        for batch in batches:
+            out = []
+            for b, part, member, content, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = np.unique(simhash.shingles(text, words))
+                if not member:
+                    head, own = (b, part), found
+                elif head == (b, part) and jaccard(own, found, similarity):
+                    out.append((content, b))
+            if out:
+                yield common.record(schema, *map(list, zip(*out, strict=True)))
+
+    sizes = common.cut(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
+    member = pairs.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), F.col("a").alias("content"))
+    head = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("b").alias("content"))
+    rows = member.unionByName(head).join(texts, "content").select("b", "part", "member", "content", F.col("text").cast("binary").alias("text"))
+    return rows.repartition("b", "part").sortWithinPartitions("b", "part", "member").mapInArrow(run, simhash.LINKS)
 
 
 def similar(a: list, b: list | None, similarity: float):
     """Links of contents that connect what links of at least this similarity do, fewer than there are contents.
 
-    Members are (content, sorted set).  ``b`` None: among ``a``; else between ``a`` and ``b``."""
+    Members are (content, group, sorted set), of which those of one group are connected already.  ``b`` None: among
+    ``a``; else between ``a`` and ``b``."""
     members = a + (b or [])
-    sizes = np.array([len(s) for _, s in members])
-    values, places = np.unique(np.concatenate([s for _, s in members]), return_inverse=True)
+    sizes = np.array([len(s) for *_, s in members])
+    values, places = np.unique(np.concatenate([s for *_, s in members]), return_inverse=True)
     parts = np.split(places, np.cumsum(sizes)[:-1])
-    label, marked = np.arange(len(members)), np.zeros(len(values), bool)
+    label, marked = np.unique([g for _, g, _ in members], return_inverse=True)[1], np.zeros(len(values), bool)
     for x in range(len(a)):
         start = x + 1 if b is None else len(a)
         size = sizes[start:]
@@ -137,34 +177,50 @@ def similar(a: list, b: list | None, similarity: float):
         marked[parts[x]] = False
 
 
-def verified(grouped: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of the contents in each ``root`` of ``grouped`` (root, size, content, text), by their sets."""
+def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, i, j, own, content, group): ``rows`` of (key, content, group) dealt to blocks, and each block to the pairs of
+    blocks, i and j, that are looked at."""
+    sizes = common.cut(rows.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")))
+    large = sizes.where(F.col("n") > block // 2).select("key", "group", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    small = sizes.where(F.col("n") <= block // 2).groupBy("key").agg(F.ceil(F.sum("n") / block).cast("int").alias("rest"))
+    placed = rows.join(large, ["key", "group"], "left").join(small, "key", "left")
+    alone = F.col("parts").isNotNull()
+    part = F.when(alone, F.xxhash64("group", F.pmod(F.xxhash64("content"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("group"), F.coalesce("rest", F.lit(1))))
+    placed = common.cut(placed.select("key", "content", "group", part.alias("part"), F.when(alone, F.col("group")).alias("pure")))
+    parts = placed.select("key", "part", "pure").distinct()
+    other = parts.select("key", F.col("part").alias("other"), F.col("pure").alias("other_pure"))
+    pairs = parts.join(other, "key").where((F.col("part") <= F.col("other")) & ~F.coalesce(F.col("pure") == F.col("other_pure"), F.lit(False)))
+    sides = pairs.select("key", F.col("part").alias("i"), F.col("other").alias("j"), F.explode(F.array_distinct(F.array("part", "other"))).alias("part"))
+    return placed.drop("pure").join(sides, ["key", "part"]).select("key", "i", "j", F.col("part").alias("own"), "content", "group")
+
+
+def across(rows: DataFrame, texts: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of contents of different groups that share a key: ``rows``: (key, content, group), of keys with several
+    groups.  Groups of over half a block have blocks of their own, whose texts are only held against other groups'."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         held: dict = {}
         now = None
         for batch in batches:
-            for root, i, j, own, content, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, i, j) != now:
+            for key, i, j, own, content, group, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != now:
                     yield from pair(now, held)
-                    now, held = (root, i, j), {}
+                    now, held = (key, i, j), {}
                 of = held.setdefault(own, {})
                 if content not in of:
-                    of[content] = np.unique(simhash.shingles(text, words))
+                    of[content] = (content, group, np.unique(simhash.shingles(text, words)))
         yield from pair(now, held)
 
     def pair(now, held):
         if now:
-            a, b = (list(held.get(x, {}).items()) for x in now[1:])
+            a, b = (list(held.get(x, {}).values()) for x in now[1:])
             if a and b:
                 x = np.array(list(similar(a, None if now[1] == now[2] else b, similarity)), np.int64).reshape(-1, 2)
                 yield common.record(schema, pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1])))
 
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    rows = grouped.select("root", F.pmod(F.xxhash64("content"), blocks).cast("int").alias("own"), "content", F.col("text").cast("binary").alias("text"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "text")
-    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, simhash.LINKS)
+    shown = dealt(rows, block).join(texts, "content").select("key", "i", "j", "own", "content", "group", F.col("text").cast("binary").alias("text"))
+    return shown.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, simhash.LINKS)
 
 
 def members(links: DataFrame) -> DataFrame:
@@ -173,6 +229,15 @@ def members(links: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "content")
 
 
+def texts_of(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(content, text) of the contents in pairs, one each, however often its row is repeated."""
+    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
+    places = distinct.join(wanted, "content").select("content", F.col("doc_id").alias("own_id"), F.col("version").alias("own_version"))
+    rows = common.id_and_text(docs).withColumn("version", F.xxhash64("text"))
+    found = rows.join(places, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("version") == F.col("own_version")))
+    return found.select("content", "text").dropDuplicates(["content"])
+
+
 def one_of_each(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group that links of texts connect whose sets of shingles have a Jaccard
     similarity of at least this: the row of the smallest doc_id (a null one comes last), and of the smallest
@@ -182,12 +247,16 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMIL
     prints = common.cut(sketches(docs, words))
     best = prints.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "fp", "keys")).alias("best"))
     distinct = common.cut(best.select("content", "best.*"))
-    loose = distinct.select("content", "doc_id", "version").join(members(shared_keys(distinct).unionByName(near_prints(distinct))), "content")
-    loose = common.cut(loose)
-    sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    looked = common.cut(loose.join(sizes, "root").select("root", "size", "content", F.col("doc_id").alias("__id"), F.col("version").alias("__version")))
-    texts = common.id_and_text(docs).withColumn("version", F.xxhash64("text"))
-    grouped = texts.join(looked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version"))).select("root", "size", "content", "text")
-    near = common.cut(members(common.cut(verified(grouped, words, similarity), True)))
+    along, by_print = near_prints(distinct)
+    pairs = common.cut(shared_keys(distinct).unionByName(along).where("a <> b").distinct())
+    with common.Scratch(docs.sparkSession) as scratch:
+        texts = scratch.keep(texts_of(docs, distinct, pairs))
+        near = common.cut(beside_heads(pairs, texts, words, similarity), True)
+        grouped = distinct.select("content", "keys").join(common.cut(members(near)), "content", "left").select("content", "keys", F.coalesce("root", "content").alias("group"))
+        rows = grouped.select(F.explode("keys").alias("key"), "content", "group").unionByName(by_print.join(grouped.select("content", "group"), "content").select("key", "content", "group"))
+        several = rows.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
+        rows = common.cut(rows.join(several, "key"))
+        near = near if rows.isEmpty() else common.cut(near.unionByName(across(rows, texts, words, similarity)), True)
+    near = common.cut(members(near))
     named = distinct.select("content", "last", "doc_id", "version").join(near, "content", "left")
     return simhash.first_rows(docs, prints, named.select(F.coalesce("root", "content").alias("root"), "last", "doc_id", "version"))

@@ -70,23 +70,49 @@ def test_the_stage_drops_copies_beyond_the_bits_of_a_fingerprint(spark):
         assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()) == [0, 2]
 
 
-def test_blocks_give_the_same_components(spark):
-    rows = [(1, 90, i, t) for i, t in edited(groups=4)]
-    df = spark.createDataFrame(rows, "root long, size long, content long, text string")
-    groups = []
-    for block in (1000, 7):
-        links = [(r["a"], r["b"]) for r in near_copies.verified(df, block=block).collect()]
-        parent = {r[2]: r[2] for r in rows}
-
-        def root(x, parent=parent):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in links:
-            parent[root(a)] = root(b)
-        groups.append({frozenset(y for y in parent if root(y) == root(x)) for x in parent})
-    assert groups[0] == groups[1] and len(groups[0]) < len(rows)
+def joined(names, links):
+    """The sets of names that links connect."""
+    parent = {x: x for x in names}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    return {frozenset(y for y in parent if root(y) == root(x)) for x in parent}
+
+
+def test_groups_are_compared_across_and_in_any_blocks(spark):
+    """Of texts with one key, some in groups already: what groups and links connect is what all pairs connect."""
+    rows = edited(groups=4)
+    texts = spark.createDataFrame(rows, "content long, text string")
+    close = [(a, b) for a, s in rows for b, t in rows if a < b and len(grams(s) & grams(t)) / len(grams(s) | grams(t)) >= 0.8]
+    want = joined([i for i, _ in rows], close)
+    for known in ([], [(a, b) for a, b in close if b < 1013]):
+        groups = {x: min(g) for g in joined([i for i, _ in rows], known) for x in g}
+        keyed = spark.createDataFrame([(key, i, groups[i]) for key in (5, 6) for i, _ in rows], "key long, content long, group long")
+        for block in (1000, 7, 2):
+            links = [(r["a"], r["b"]) for r in near_copies.across(keyed, texts, block=block).collect()]
+            assert joined(groups, [*groups.items(), *links]) == want
+
+
+def test_a_large_group_is_not_paired_with_itself(spark):
+    """Its texts go to as many blocks as there are of other groups, and not to each other's."""
+    rows = spark.createDataFrame([(1, i, 0 if i < 1000 else i) for i in [*range(1000), 2000, 2001]], "key long, content long, group long")
+    found = near_copies.dealt(rows, 50).groupBy("group").count().collect()
+    assert {r["group"]: r["count"] for r in found} == {0: 1000, 2000: 20 + 1, 2001: 20 + 1}
+
+
+def test_pairs_beside_heads(spark):
+    rows = edited(groups=3)
+    of = dict(rows)
+    pairs = [(b, a) for a, _ in rows for b, _ in rows if a < b and a % 10 == 0]
+    df, texts = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "content long, text string")
+    want = sorted((a, b) for a, b in pairs if len(grams(of[a]) & grams(of[b])) / len(grams(of[a]) | grams(of[b])) >= 0.8)
+    for block in (512, 2):
+        assert sorted(map(tuple, near_copies.beside_heads(df, texts, block=block).collect())) == want
 
 
 def test_bands_meet_at_the_similarity():
