@@ -642,16 +642,20 @@ def unreturned_uids(spark, sf):
     return sync.unreturned(e.where("event_id % 2 = 0").select("event_id", "user_id"), e.where("event_type = 'click'"), ["event_id"])
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE m AS (SELECT *, row_number() OVER w AS i, sum(cost) OVER (w ROWS UNBOUNDED PRECEDING) AS s
+  FROM (SELECT user_id % 10 AS folder, event_id AS uid, CASE WHEN event_id % 7 <> 0 THEN event_id % 60 END AS size, coalesce(CASE WHEN event_id % 7 <> 0 THEN event_id % 60 END, 100) AS cost FROM events) WINDOW w AS (PARTITION BY folder ORDER BY uid)),
+z AS (SELECT folder, i, s - cost + 100 AS most, min(CASE WHEN cost > 0 THEN i END) OVER (PARTITION BY folder ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled FROM m),
+sums AS (SELECT folder, s, min(i) AS i FROM m GROUP BY ALL),
+following AS MATERIALIZED (SELECT z.folder, z.i, greatest(min(sums.i), filled + 1) AS j FROM z JOIN sums ON z.folder = sums.folder AND sums.s BETWEEN z.most + 1 AND z.most + 100 GROUP BY z.folder, z.i, filled),
+starts AS (SELECT DISTINCT folder, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS batch FROM m UNION ALL SELECT s.folder, f.j, s.batch + 1 FROM starts s JOIN following f ON f.folder = s.folder AND f.i = s.i)
+SELECT m.folder, uid, size, max(batch) OVER (PARTITION BY m.folder ORDER BY m.i ROWS UNBOUNDED PRECEDING) AS batch FROM m LEFT JOIN starts ON m.folder = starts.folder AND m.i = starts.i"""
+)
 def byte_batches(spark, sf):
-    """No SQL: a recursion over each message takes too long for whole tables; pytest folds them instead."""
     m = table(spark, sf, "events").select((F.col("user_id") % 10).alias("folder"), F.col("event_id").alias("uid"), F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 60).alias("size"))
     return sync.byte_batches(m, ["folder"], 100)
 
 
-
-
-
 # resolution as aggregation
 
 

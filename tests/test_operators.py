@@ -4,6 +4,7 @@ import datetime
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import access, graph, sync, tables
@@ -122,3 +123,39 @@ def test_writes(spark):
     held = {"a": spark.createDataFrame([("o", "1"), ("p", "1")], "org_id string, id string"), "b": spark.createDataFrame([("o", "1"), ("p", "1")], "org_id string, parent string")}
     out = tables.delete_cascade(held, "a", F.col("org_id") == "o", {"b": "parent"})
     assert rows(out["a"]) == [("p", "1")] == rows(out["b"])
+
+
+def folds(rows, budget):
+    """Batches of (folder, uid, size) by a fold in order."""
+    out, state = [], {}
+    for folder, uid, size in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        cost = budget if size is None else size
+        batch, total = state.get(folder, (0, 0))
+        batch, total = (batch, total + cost) if total + cost <= budget or total == 0 else (batch + 1, cost)
+        state[folder] = batch, total
+        out.append((folder, uid, size, batch))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40, None])
+def test_batches_of_folders_in_blocks(spark, parts):
+    r = random.Random(7)
+    size = lambda: r.choice([None, 0, 0, 1, 5, 30, 100, 101, 250, r.randrange(60)])
+    rows = [(r.choice([1, 1, 1, 1, 2, None]), uid, size()) for uid in range(900)]
+    rows += [(7, uid, 0) for uid in range(60)] + [(8, uid, 1) for uid in range(90)] + [(9, 1, 500)]
+    df = spark.createDataFrame(rows, "folder long, uid long, size long").repartition(5)
+    got = sync.byte_batches(df, ["folder"], 100, parts=parts)
+    assert sorted(map(tuple, got.collect()), key=repr) == folds(rows, 100)
+
+
+def test_a_large_folder_is_many_tasks(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("folder"), F.col("id").alias("uid"), (F.col("id") % 50).alias("size"))
+    rows = [(1, i, i % 50) for i in range(20_000)]
+    got = sync.byte_batches(df, ["folder"], 100, parts=16)
+    assert sorted(map(tuple, got.collect()), key=repr) == folds(rows, 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as they are, they would be put together
+    try:
+        in_task = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert in_task < 20_000 / 2

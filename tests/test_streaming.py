@@ -179,3 +179,52 @@ def test_limiter_stream(spark, tmp_path):
         q.stop()
     got = {(r["key"], r["ts"]): r["allowed"] for r in spark.table("limited").collect()}
     assert [got["k", float(i)] for i in range(7)] == [True] * 5 + [False] * 2 and got["j", 1.0]
+
+
+def states(query):
+    """Rows of state after the last batch, None if there was none yet."""
+    progress = query.lastProgress
+    return progress["stateOperators"][0]["numRowsTotal"] if progress and progress["stateOperators"] else None
+
+
+def waited(condition, seconds=90):
+    until = time.time() + seconds
+    while time.time() < until and not condition():
+        time.sleep(0.3)
+    return condition()
+
+
+def test_state_of_the_limiter_goes_after_its_time(spark, tmp_path):
+    src = tmp_path / "in"
+    spark.createDataFrame([(k, float(i)) for k in "abc" for i in range(3)], "key string, ts double").coalesce(1).write.parquet(str(src))
+    out = limiter.limited(spark.readStream.schema("key string, ts double").parquet(str(src)), ttl=4.0)
+    q = out.writeStream.format("memory").queryName("going").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        assert waited(lambda: spark.table("going").count() == 9)
+        assert waited(lambda: states(q) == 0)
+    finally:
+        q.stop()
+    assert {r["allowed"] for r in spark.table("going").collect()} == {True}
+
+
+def test_cutoffs_run_out(spark, tmp_path):
+    from corpusloom.operators import lifecycle
+
+    src, now, ttl = tmp_path / "in", time.time(), 30.0
+    rows = [("a", now), ("a", now - 3), ("b", now - 29), ("b", now - 20), ("c", now - 31), ("d", now - 15)]
+    spark.createDataFrame(rows, "subject string, cutoff double").coalesce(1).write.parquet(str(src))
+    out = limiter.cutoffs(spark.readStream.schema("subject string, cutoff double").parquet(str(src)), ttl)
+    q = out.writeStream.format("memory").queryName("cut").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    held = spark.createDataFrame(rows, "subject string, cutoff double").withColumn("cutoff", F.timestamp_micros((F.col("cutoff") * 1_000_000).cast("long")))
+    live = lambda at: {r["subject"] for r in lifecycle.unexpired(held, F.timestamp_micros(F.lit(int(at * 1_000_000))), int(ttl)).collect()}
+    ended = lambda: {r["subject"] for r in spark.table("cut").where("not live").collect()}
+    try:
+        assert waited(lambda: spark.table("cut").count() > 0)
+        shown = {r["subject"]: r["cutoff"] for r in spark.table("cut").where("live").collect()}
+        assert shown == {k: v for k, v in {"a": now, "b": now - 20, "d": now - 15}.items() if k in shown} and "a" in shown and "c" not in shown
+        assert waited(lambda: ended() == set(shown) and states(q) == 0)
+        assert live(time.time()) == set()
+    finally:
+        q.stop()
+    ends = [(r["subject"], r["cutoff"]) for r in spark.table("cut").where("not live").collect()]
+    assert sorted(ends) == sorted(shown.items())
