@@ -118,11 +118,14 @@ def clean_name(x: Column) -> Column:
     return F.nullif(strip(F.when(quoted, F.substring(t, 2, F.length(t) - 2)).otherwise(t)), F.lit(""))
 
 
-def is_internal(address: Column, mailbox: Column) -> Column:
-    """Of the mailbox's company; for a mailbox at a personal provider, the very address."""
-    own = domain(normalize_email(mailbox))
-    company = F.when(~is_generic(own) & ~is_generic(registrable(own)), registrable(own))
-    return F.coalesce(F.when(company.isNotNull(), registrable(domain(normalize_email(address))) == company).otherwise(normalize_email(address) == normalize_email(mailbox)), F.lit(False))
+def is_internal(address: Column, mailbox: Column, folded: Column | None = None, own: Column | None = None) -> Column:
+    """Of the mailbox's company; for a mailbox at a personal provider, the very address. ``folded`` and ``own``: what the
+    hosts of both fold to, if that is known."""
+    host = domain(normalize_email(mailbox))
+    own = registrable(host) if own is None else own
+    folded = registrable(domain(normalize_email(address))) if folded is None else folded
+    company = F.when(~is_generic(host) & ~is_generic(own), own)
+    return F.coalesce(F.when(company.isNotNull(), folded == company).otherwise(normalize_email(address) == normalize_email(mailbox)), F.lit(False))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:

@@ -101,11 +101,16 @@ def last_admin(users: DataFrame) -> DataFrame:
     return alone.select("org_id", "user_id")
 
 
+def persons_of(identities: DataFrame, org: str | None) -> DataFrame:
+    """(user, person_id) of the users that a verified identity makes one person: none for a user of no or more than one."""
+    own = scoped(identities, org).where((F.col("source_type") == "auth") & F.col("verified"))
+    found = own.groupBy(F.col("external_id").alias("user")).agg(F.count_distinct("person_id").alias("n"), F.min("person_id").alias("person_id"))
+    return found.where("n = 1").select("user", "person_id")
+
+
 def person_of(identities: DataFrame, org: str | None, user: str | None) -> DataFrame:
-    """(person_id) that a user is known to be by a verified identity; none if there is none or more than one, and
-    then only what the tenant shares is visible."""
-    own = scoped(identities, org).where((F.col("source_type") == "auth") & F.col("verified") & (F.lit(False) if user is None else F.col("external_id") == user))
-    return own.agg(F.count_distinct("person_id").alias("n"), F.min("person_id").alias("person_id")).where("n = 1").select("person_id")
+    """(person_id) that a user is known to be; where there is none only what the tenant shares is visible."""
+    return persons_of(identities, org).where(F.lit(False) if user is None else F.col("user") == user).select("person_id")
 
 
 def promote_as(tables: dict[str, DataFrame], org: str, user: str, message: str, at: Column) -> dict[str, DataFrame]:

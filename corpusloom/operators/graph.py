@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import addresses as A
+from ..functions import suffixes
 from .tables import first_by
 
 
@@ -35,15 +36,40 @@ def sightings(messages: DataFrame) -> DataFrame:
     return all_.where(F.coalesce(A.local_part(F.col("email")) != "", F.lit(False)) & A.domain(F.col("email")).isNotNull())
 
 
-def resolve(seen: DataFrame) -> dict[str, DataFrame]:
-    """Tables person, person_email, person_alias, company, company_domain and person_company of sightings."""
-    host = A.domain(F.col("email"))
-    folded = A.registrable(host)
+def folded_hosts(seen: DataFrame, listed: DataFrame | None) -> DataFrame:
+    """``seen`` with ``folded`` and ``own``: what the address's and the mailbox's host fold to, by the engine's few
+    suffixes or by a list (see ``suffixes.rules``)."""
+    host, own = A.domain(F.col("email")), A.domain(A.normalize_email(F.col("mailbox")))
+    if listed is None:
+        return seen.select("*", A.registrable(host).alias("folded"), A.registrable(own).alias("own"))
+    rows = seen.select("*", host.alias("__host"), own.alias("__own"))
+    known = suffixes.registrable(rows.select(F.col("__host").alias("host")).unionByName(rows.select(F.col("__own").alias("host"))), listed)
+    for column, name in (("__host", "folded"), ("__own", "own")):
+        rows = rows.join(known.select(F.col("host").alias(column), F.col("registrable").alias(name)), column, "left")
+    return rows.drop("__host", "__own")
+
+
+def near_names(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, near): each of ``names`` (name) and those of ``known`` (name) within one substitution, insertion or deletion.
+
+    Two names that near are equal, one is the other without a letter, or both are equal without the one that differs:
+    so they share a name with at most one letter left out, which is what they are joined by."""
+    without = F.expr("transform(sequence(1, greatest(length(name), 1)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1)))")
+    keys = lambda df, alias: df.distinct().select(F.col("name").alias(alias), F.explode(F.array_union(F.array("name"), without)).alias("key"))
+    pairs = keys(names.select("name"), "name").join(keys(known.select("name"), "near"), "key").select("name", "near").distinct()
+    return pairs.where(A.within_one_edit(F.col("name"), F.col("near")))
+
+
+def resolve(seen: DataFrame, listed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables person, person_email, person_alias, company, company_domain and person_company of sightings.
+
+    ``listed``: rules of a list of public suffixes, by which hosts fold to companies."""
+    seen = folded_hosts(seen, listed)
+    host, folded = A.domain(F.col("email")), F.col("folded")
     company = F.when(~(A.is_generic(host) | A.is_generic(folded) | A.is_suspicious_idn(host)), folded)
-    rows = seen.select("*", host.alias("host"), company.alias("company"), A.clean_name(F.col("name")).alias("clean"), A.is_internal(F.col("email"), F.col("mailbox")).alias("internal"), F.struct("seq", "place").alias("order"))
+    rows = seen.select("*", host.alias("host"), company.alias("company"), A.clean_name(F.col("name")).alias("clean"), A.is_internal(F.col("email"), F.col("mailbox"), folded, F.col("own")).alias("internal"), F.struct("seq", "place").alias("order"))
     hosts = rows.where("company is not null")
-    mailbox_host = A.registrable(A.domain(A.normalize_email(F.col("mailbox"))))
-    companies = hosts.groupBy("org_id", "company").agg(F.bool_or(F.coalesce(mailbox_host == F.col("company"), F.lit(False))).alias("is_internal"))
+    companies = hosts.groupBy("org_id", "company").agg(F.bool_or(F.coalesce(F.col("own") == F.col("company"), F.lit(False))).alias("is_internal"))
     people = rows.where("person").where(~A.is_role(F.col("email")))
     key = ["org_id", "email"]
     # aggregates alone, so order of arrival within tasks doesn't matter and partial results combine

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import addresses as A
 from ..functions import redact as R
 from ..functions import texts as X
-from ..operators import access, lifecycle, sync, tables
+from ..operators import access, graph, lifecycle, sketches, sync, tables
 from . import adapters as V
 from . import measured
 from .adapters import table, with_views
@@ -419,6 +419,21 @@ def size_percentiles(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.round(F.percentile("n_chars", F.lit(0.5)), 2).alias("p50"), F.round(F.percentile("n_chars", F.lit(0.99)), 2).alias("p99"), F.max("n_chars").alias("most"))
 
 
+_BIN = "(n_chars >> greatest(length(bin(n_chars)) - 7, 0)) << greatest(length(bin(n_chars)) - 7, 0)"
+
+
+@query(
+    f"""WITH bins AS (SELECT source, lang, {_BIN} AS low, count(*) AS n FROM documents WHERE n_chars >= 0 GROUP BY ALL),
+per AS (SELECT source, low, sum(n) AS n FROM bins GROUP BY ALL),
+ranked AS (SELECT *, low + ((CAST(1 AS BIGINT) << greatest(length(bin(low)) - 7, 0)) - 1) / 2 AS middle, sum(n) OVER (PARTITION BY source ORDER BY low) AS upto, sum(n) OVER (PARTITION BY source) AS whole FROM per)
+SELECT source, CAST(max(whole) AS BIGINT) AS n, min(middle) FILTER (WHERE upto >= ceil(0.5 * whole)) AS p50, min(middle) FILTER (WHERE upto >= ceil(0.99 * whole)) AS p99 FROM ranked GROUP BY source"""
+)
+def size_sketch(spark, sf):
+    """Percentiles of a source from the sketches of its languages, put together: only bins are shuffled."""
+    parts = sketches.sketch(table(spark, sf, "documents"), ["source", "lang"], "n_chars")
+    return sketches.quantiles(parts.groupBy("source", "low").agg(F.sum("n").alias("n")), ["source"], p50=0.5, p99=0.99)
+
+
 @query("SELECT role, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (WHERE turn > 0) * 1.0 / count(*) AS reply_rate, count(*) FILTER (WHERE text IS NULL OR text = '') * 1.0 / count(*) AS empty_rate, avg(length(text)) AS mean_chars FROM conversations GROUP BY role ORDER BY n DESC, role LIMIT 12")
 def corpus_stats(spark, sf):
     per = table(spark, sf, "conversations").groupBy("role").agg(N().alias("n"), F.count_if(F.col("turn") > 0).alias("a"), F.count_if(F.coalesce(F.col("text"), F.lit("")) == "").alias("b"), F.avg(F.length("text")).alias("mean_chars"))
@@ -493,13 +508,18 @@ def dotplus_groups(spark, sf):
     return table(spark, sf, "customer").groupBy(A.mailbox_root(local).alias("base")).agg(F.countDistinct("c_custkey").alias("persons")).where("persons > 1")
 
 
-@query("SELECT a.n_name AS name, b.n_name AS typo_of FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND left(a.n_name, 1) = left(b.n_name, 1) AND levenshtein(a.n_name, b.n_name) <= 1 UNION ALL SELECT n_name || 'x', n_name FROM nation WHERE levenshtein(n_name || 'x', n_name) <= 1")
+_TYPOS = "(SELECT n_name AS name FROM nation UNION SELECT substr(n_name, 2) FROM nation UNION SELECT n_name || 'x' FROM nation UNION SELECT 'X' || substr(n_name, 2) FROM nation)"
+
+
+@query(f"SELECT t.name, n_name AS typo_of FROM {_TYPOS} t JOIN nation ON t.name <> n_name AND levenshtein(t.name, n_name) <= 1")
 def typo_domains(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    b = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("typo_of"))
-    pairs = n.join(b, (F.left("n_name", F.lit(1)) == F.left("typo_of", F.lit(1))) & (F.col("n_nationkey") != F.col("k")) & A.within_one_edit(F.col("n_name"), F.col("typo_of"))).select(F.col("n_name").alias("name"), "typo_of")
-    made = n.select(F.concat("n_name", F.lit("x")).alias("name"), F.col("n_name").alias("typo_of")).where(A.within_one_edit(F.col("name"), F.col("typo_of")))
-    return pairs.unionByName(made)
+    """Names within one edit of a known one, in any letter: found by what is left when one letter goes, not by comparing all."""
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("name"))
+    made = [n.select(x.alias("name")) for x in (F.substring("name", 2, 100), F.concat("name", F.lit("x")), F.concat(F.lit("X"), F.substring("name", 2, 100)))]
+    names = n
+    for part in made:
+        names = names.unionByName(part)
+    return graph.near_names(names, n).where("name <> near").select("name", F.col("near").alias("typo_of"))
 
 
 @query("SELECT CAST(count(*) FILTER (WHERE n IS NULL OR trim(n) = '') AS BIGINT) AS blank, CAST(count(*) AS BIGINT) AS total FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN '  ' WHEN c_custkey % 10 = 1 THEN NULL ELSE c_name END AS n FROM customer)")
@@ -604,6 +624,16 @@ def redact_full(spark, sf):
     return masked.select("doc_id", F.sha2("r.text", 256).alias("masked_sha256"), F.col("r.count").alias("secrets"))
 
 
+_NOWHERE = "[:=]| KEY-----|" + "|".join(p for pieces in R.PIECES.values() for p in pieces.split())
+
+
+@query(f"SELECT doc_id, sha256(text) AS masked_sha256, CAST(0 AS INTEGER) AS secrets FROM documents WHERE NOT regexp_matches(text, '{_NOWHERE}')")
+def redact_untouched(spark, sf):
+    """Texts without anything that a secret has to hold stay as they are, whatever words they have."""
+    plain = table(spark, sf, "documents").where(~F.col("text").rlike(_NOWHERE))
+    return plain.select("doc_id", R.redacted(F.col("text")).alias("r")).select("doc_id", F.sha2("r.text", 256).alias("masked_sha256"), F.col("r.count").alias("secrets"))
+
+
 # sync
 
 
@@ -854,6 +884,20 @@ def pdf_text(spark, sf):
     return read.select("conv_id", "turn", "kind", "x.status", "x.pages", F.sha2("x.text", 256).alias("text_sha256"))
 
 
+@query(
+    """SELECT CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp1252' ELSE 'mac_roman' END AS charset, CAST(count(*) AS BIGINT) AS n, true AS recovered FROM documents WHERE text IS NOT NULL GROUP BY ALL"""
+)
+def charset_coherence(spark, sf):
+    """Documents written in three charsets and read by a model of the table's own texts: of each 99 of 100 at least are what they were."""
+    from ..sources import coherence
+
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.col("text").alias("clean"))
+    charset = F.when(F.col("doc_id") % 3 == 0, "utf-8").when(F.col("doc_id") % 3 == 1, "cp1252").otherwise("mac_roman")
+    rows = docs.withColumn("charset", charset).withColumn("data", coherence.written(F.col("clean"), F.col("charset")))
+    read = coherence.decoded(rows, coherence.train(docs, "clean"))
+    return read.groupBy("charset").agg(N().alias("n"), (F.count_if(F.col("text") == F.col("clean")) * 100 >= N() * 99).alias("recovered"))
+
+
 @query(None)
 def charset_repair(spark, sf):
     from ..sources.charsets import decode_chain
@@ -867,8 +911,6 @@ def charset_repair(spark, sf):
 )
 def resolved_people(spark, sf):
     """The resolver over conversations as mail: one person a role and conversation group; ``system`` is a functional name."""
-    from ..operators import graph
-
     t = V.thread(spark, sf)
     host = F.concat(F.lit("mail.c"), (F.col("conv_id") % 10).cast("string"), F.lit(".example"))
     entry = F.struct(F.lit("to").alias("kind"), F.concat(F.lit("desk@"), host).alias("address"), F.lit("'Desk'").alias("name"))
@@ -1015,10 +1057,7 @@ def container_backfill(spark, sf):
 def bound_persons(spark, sf):
     n = table(spark, sf, "nation").select(F.lit("org").alias("org_id"), F.lit("auth").alias("source_type"), F.lit(True).alias("verified"), F.col("n_regionkey").alias("external_id"), F.when(F.col("n_regionkey") < 3, F.col("n_regionkey")).otherwise(F.col("n_nationkey")).alias("person_id"))
     out = table(spark, sf, "region").select(F.col("r_regionkey").alias("user_id"))
-    found = [access.person_of(n, "org", k).select(F.lit(k).alias("user_id"), "person_id") for k in range(5)]
-    for part in found[1:]:
-        found[0] = found[0].unionByName(part)
-    return out.join(found[0], "user_id", "left")
+    return out.join(access.persons_of(n, "org").select(F.col("user").alias("user_id"), "person_id"), "user_id", "left")
 
 
 # the measures over stored tables

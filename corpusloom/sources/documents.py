@@ -37,7 +37,7 @@ DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 XLSX = ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.ms-excel.sheet.macroenabled.12")
 RTF = ("text/rtf", "application/rtf")
 PDF = ("application/pdf", "application/x-pdf")
-TNEF = ("application/ms-tnef", "application/vnd.ms-tnef")
+TNEF = tnef.TYPES
 TEXT = ("application/json", "application/xml", "application/csv", "application/text", "message/rfc822")
 NO_DOCUMENT = (
     "application/zip application/x-zip-compressed application/x-rar-compressed application/vnd.rar application/x-7z-compressed application/gzip "

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import addresses, texts
 from ..functions.redact import redact
+from . import tnef
 from .charsets import decode
 from .markup import flatten
 
@@ -112,6 +113,17 @@ def attachments(message: EmailMessage) -> list[dict]:
     return found
 
 
+def identity(part: dict) -> str:
+    """What an attachment is known by: its content's hash; of a mail container the digest of its interior, since servers
+    write the same one anew for each copy."""
+    if part["content_type"] in tnef.TYPES or (part["filename"] or "").lower() == "winmail.dat":
+        try:
+            return "tnef:" + tnef.interior(part["payload"])
+        except ValueError:
+            pass
+    return part["content_hash"]
+
+
 def dedup_key(message: EmailMessage, ident: str | None, body: str, html: str, parts: list[dict], raw: bytes) -> str:
     """The content identity that ``functions.texts.dedup_key`` defines, of a message's own fields."""
     if ident is None or "\0" in ident or len(ident) > texts.MESSAGE_ID_MAX or not (body or html or parts):
@@ -120,7 +132,7 @@ def dedup_key(message: EmailMessage, ident: str | None, body: str, html: str, pa
     at = instant(stamp)
     audience = sorted(f"{kind}:{a.strip().lower()}" for kind in ("to", "cc") for _, a in pairs(message, kind))
     digest = lambda text: hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
-    known = sorted(f"{digest(p['filename'] or '')}:{p['content_hash']}" for p in parts)
+    known = sorted(f"{digest(p['filename'] or '')}:{identity(p)}" for p in parts)
     named = [CONTROL.sub("", header(message, n) or "")[: texts.HEADER_MAX] for n in ("From", "Subject")]
     fields = [ident, *named, at.isoformat() if at else stamp, "|".join(audience), body, digest(html.replace("\r\n", "\n").replace("\r", "\n")) if html else "", *known]
     return "sha256:" + hashlib.sha256("\0".join(fields).encode("utf-8", "backslashreplace")).hexdigest()

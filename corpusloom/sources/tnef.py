@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 from .charsets import decode
@@ -135,6 +136,57 @@ def body_of(props: dict[int, tuple[int, bytes]], plain: bytes) -> tuple[str, str
     return "", "none"
 
 
+# fixed values: content types, and identifiers of properties that tell when and by what a container was written, not what is in it
+TYPES = ("application/ms-tnef", "application/vnd.ms-tnef")
+VOLATILE = frozenset((0x0E06, 0x0E08, 0x0E0F, 0x0E20, 0x0E21, 0x0FF8, 0x0FF9, 0x3007, 0x3008, 0x300B, 0x370B))
+#: Containers within containers that are looked into.
+DEPTH_MAX = 8
+
+
+def digest_of(*parts: bytes) -> bytes:
+    """A digest of parts, each by its length, so that no two lists of parts are one."""
+    found = hashlib.sha256()
+    for part in parts:
+        found.update(len(part).to_bytes(8, "big") + part)
+    return found.digest()
+
+
+def interior(payload: bytes, depth: int = 0) -> str:
+    """A digest of what is in a container: its body, its properties and its files, each in no order, and of files that are
+    containers themselves their interior.  Numbers of attributes, the container's key and stamps of the writing aren't in it.
+    Raises ValueError for what is no container."""
+    plain, props, files = b"", [], []
+    for name, data in attributes(payload):
+        if name == BODY:
+            plain = data.rstrip(b"\0")
+        elif name == MESSAGE_PROPS:
+            props.append(_properties_digest(data))
+        elif name == FILE_BEGINS:
+            files.append({"title": b"", "data": b"", "props": b""})
+        elif files and name == FILE_TITLE:
+            files[-1]["title"] = data.rstrip(b"\0")
+        elif files and name == FILE_DATA:
+            files[-1]["data"] = _data_digest(data, depth)
+        elif files and name == FILE_PROPS:
+            files[-1]["props"] = _properties_digest(data)
+    inner = sorted(digest_of(b"file", f["title"], f["data"], f["props"]) for f in files)
+    return digest_of(b"container", plain, *sorted(props), *inner).hex()
+
+
+def _data_digest(data: bytes, depth: int) -> bytes:
+    if depth < DEPTH_MAX and len(data) >= 6 and data[:4] == struct.pack("<I", SIGNATURE):
+        return digest_of(b"inner", interior(data, depth + 1).encode())
+    return digest_of(b"data", data)
+
+
+def _properties_digest(data: bytes) -> bytes:
+    try:
+        found = properties(data)
+    except (ValueError, struct.error):  # a broken list counts as it is
+        return digest_of(b"broken", data)
+    return digest_of(b"properties", *sorted(digest_of(k.to_bytes(2, "big"), kind.to_bytes(2, "big"), value) for k, (kind, value) in found.items() if k not in VOLATILE))
+
+
 def contents(payload: bytes) -> tuple[str, str, list[tuple[str, bytes]]]:
     """Body, its kind, and the embedded files as (name, bytes)."""
     props, plain, files = {}, b"", []

@@ -86,3 +86,35 @@ def test_routes(spark):
     df = spark.createDataFrame([(k, 5) for k in kinds], "t string, n long")
     assert [r[0] for r in df.select(documents.route(df["t"], df["n"])).collect()] == ["rtf", "rtf", "tnef", "tnef", "pdf"]
     assert documents.extract("rtf", rb"{\rtf1 x\par y}")["text"] == "x\ny" and documents.extract("rtf", rb"{\rtf1 }")["status"] == "empty"
+
+
+def keyed(payload, **more):
+    from email.message import EmailMessage
+
+    from corpusloom.sources import messages
+
+    m = EmailMessage()
+    m["From"], m["To"], m["Subject"], m["Message-ID"], m["Date"] = "a@x", "b@x", "s", "<1@x>", "Mon, 01 Jan 2024 10:00:00 +0000"
+    m.set_content("text")
+    m.add_attachment(payload, maintype="application", subtype=more.get("subtype", "ms-tnef"), filename=more.get("filename", "winmail.dat"))
+    return messages.record(m.as_bytes())["dedup_key"]
+
+
+def test_containers_of_one_interior_are_one():
+    props, one, two = {"x1000": "body", "x0037": "subject", "x0E07": 1}, (b"a.txt", b"first", listed(x3707="a long.txt")), (b"b.txt", b"second", listed())
+    base = container(listed(**props), [one, two])
+    other = struct.pack("<IH", tnef.SIGNATURE, 777) + base[6:]  # another key
+    turned = container(listed(**dict(reversed(props.items()))), [two, one])
+    stamped = container(listed(**props, x0E06=5, x3008=9), [one, two])
+    assert {tnef.interior(x) for x in (base, other, turned, stamped)} == {tnef.interior(base)}
+    assert {keyed(x) for x in (base, other, turned, stamped)} == {keyed(base)} and keyed(base, subtype="octet-stream") == keyed(other, subtype="octet-stream")
+    changed = [
+        container(listed(**{**props, "x1000": "another"}), [one, two]), container(listed(**props), [one]), container(listed(**props), [one, one, two]), container(listed(**props), [one, (b"b.txt", b"Second", listed())]),
+        container(listed(**props), [one, (b"c.txt", b"second", listed())]), container(listed(**props), [one, two], body=b"plain"), container(listed(**props), [(b"a.txt", b"second", listed(x3707="a long.txt")), (b"b.txt", b"first", listed())]),
+    ]
+    assert len({keyed(x) for x in [base, *changed]}) == len(changed) + 1
+    # a container within: its interior counts, at any depth
+    nested = lambda inner: container(listed(x1000="outer"), [(b"in.dat", container(listed(x1000="mid"), [(b"deep.dat", inner, listed())]), listed())])
+    assert keyed(nested(base)) == keyed(nested(turned)) != keyed(nested(changed[0]))
+    # what is no container is known by its bytes
+    assert keyed(b"none") == keyed(b"none") != keyed(b"other") and keyed(base, filename="x.bin", subtype="octet-stream") != keyed(other, filename="x.bin", subtype="octet-stream")
