@@ -164,11 +164,14 @@ def judged(items: list, pages: int) -> None:
             else:
                 tag, *words = x.key.rstrip("!").split(".")
                 words = {w for word in words for w in re.split(r"[^a-z]+", word)}
-                article = tag in MAIN_TAGS or bool(words & MAIN_WORDS) and tag not in ("html", "body")
-                gone = out or x.key.endswith("!") or tag in OUT_TAGS or bool(words & OUT_WORDS) and tag not in ("html", "body", *MAIN_TAGS - {"article"})
-                # a whole page may stand in a form or a header; an article in there is one all the same
-                loose = (soft or tag in ("form", "header") or "header" in words) and not (main or tag in MAIN_TAGS) or tag == "form"
-                walk(x.items, gone, loose, main or article and not gone, tag)
+                plain = tag in ("html", "body")
+                # a header isn't the article, but may stand in it
+                article = tag in MAIN_TAGS or bool(words & MAIN_WORDS) and not (plain or tag == "form" or "header" in words)
+                gone = out or x.key.endswith("!") or tag in OUT_TAGS or bool(words & OUT_WORDS) and not plain and tag != "main" or main and tag == "form"
+                within = main or article and not gone
+                # a whole page may stand in a form or a header: an article in there is one all the same
+                loose = (soft or tag in ("form", "header") or "header" in words) and not within
+                walk(x.items, gone, loose, within, tag)
 
     walk(items, False, False, False, "")
     same = lambda held: held[1] == held[2] and held[0] >= SAME and held[0] >= SHARE * pages
