@@ -16,7 +16,7 @@ from ..functions import redact as R
 from ..functions import texts as X
 from ..operators import access, graph, lifecycle, sketches, sync, tables
 from . import adapters as V
-from . import measured
+from . import measured, rules
 from .adapters import table, with_views
 
 QUERIES: dict[str, Callable] = {}
@@ -1060,7 +1060,7 @@ def bound_persons(spark, sf):
     return out.join(access.persons_of(n, "org").select(F.col("user").alias("user_id"), "person_id"), "user_id", "left")
 
 
-# the measures over stored tables
+# the measures over stored tables, and rules
 
-QUERIES |= measured.QUERIES
-SQL |= measured.SQL
+QUERIES |= measured.QUERIES | rules.QUERIES
+SQL |= measured.SQL | rules.SQL
