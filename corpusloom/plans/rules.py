@@ -200,3 +200,102 @@ def rtf_text(spark, sf):
     rich = F.concat(F.lit("{\\rtf1\\ansi "), F.array_join(lines, "\\par "), F.lit("}"))
     rows = table(spark, sf, "conversations").select("conv_id", "turn", _extract(F.lit("rtf"), rich.cast("binary")).alias("x"))
     return rows.select("conv_id", "turn", "x.status", F.sha2("x.text", 256).alias("text_sha256"))
+
+
+TYPES = ["text/plain", "TEXT/HTML", "application/pdf", "application/rtf", "image/png", "application/zip", "application/ms-tnef", "application/x-odd", "application/json", "application/vnd.ms-excel.sheet.macroEnabled.12"]
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN size = 0 THEN 'empty' WHEN size > 52428800 THEN 'skipped_oversize' ELSE list_extract(['text', 'html', 'pdf', 'rtf', 'skipped_nondocument', 'skipped_nondocument', 'tnef', 'unsupported_format', 'text', 'xlsx'], doc_id % {len(TYPES)} + 1) END AS way
+FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 0 WHEN doc_id % 17 = 0 THEN 52428801 ELSE n_chars + 1 END AS size FROM documents)"""
+)
+def attachment_routes(spark, sf):
+    from ..sources.documents import route
+
+    n = F.col("doc_id")
+    size = F.when(n % 13 == 0, 0).when(n % 17 == 0, 52428801).otherwise(F.col("n_chars") + 1)
+    return table(spark, sf, "documents").select("doc_id", route(picked(n, TYPES), size).alias("way"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'to:a' || c_custkey || '@x.org,to:b@x.org,cc:a' || c_custkey || '@x.org' ELSE 'to:a' || c_custkey || '@x.org,to:b@x.org' END AS recipients,
+  CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2024-03-10 09:30:00' END AS sent_at, c_custkey % 5 = 0 AS is_automated, c_custkey % 7 = 0 AS is_reply, 'inbound' AS direction FROM customer"""
+)
+def parsed_headers(spark, sf):
+    """Messages with repeated and oddly written recipients: the first of each kind and address counts."""
+    from ..sources.messages import parse
+
+    k = key().cast("string")
+    line = lambda when, text: F.when(when, text + "\r\n").otherwise("")
+    raw = F.concat(
+        F.lit("From: Ann <ann@x.org>\r\nTo: N <a"), k, F.lit("@x.org>, b@x.org, A"), k, F.lit("@X.ORG, \"B, c\" <B@x.org>\r\n"), F.when(key() % 2 == 0, F.concat(F.lit("Cc: <a"), k, F.lit("@x.org>, A"), k, F.lit("@x.org\r\n"))).otherwise(""),
+        line(key() % 3 == 0, "Date: Sun, 10 Mar 2024 10:30:00 +0100"), line(key() % 5 == 0, "Precedence: bulk"), line(key() % 7 == 0, "Subject: AW: [x]"), F.lit("Message-ID: <"), k, F.lit("@x.org>\r\n\r\nbody "), k,
+    )
+    rows = table(spark, sf, "customer").select("c_custkey", parse(raw.cast("binary"), F.lit("own@x.org"), F.lit(None).cast("timestamp")).alias("m"))
+    recipients = F.array_join(F.transform("m.recipients", lambda r: F.concat(r["kind"], F.lit(":"), r["address"])), ",")
+    return rows.select("c_custkey", recipients.alias("recipients"), "m.sent_at", "m.is_automated", "m.is_reply", "m.direction")
+
+
+_PLAIN = "regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x20\\x7F:=]+')"
+
+
+def words() -> Column:
+    return F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x00-\\x20\\x7F:=]+"), F.lit(0))
+
+
+def _office(ways, rows):
+    """Files of words: a paragraph each, a cell each in a row of its own, or the body of a mail container."""
+    import io
+    import struct
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pandas as pd
+
+    from ..sources import tnef
+
+    def zipped(**members: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in members.items():
+                z.writestr(name.replace("__", "/").replace("--", "."), text)
+        return out.getvalue()
+
+    def one(way: str, found) -> bytes:
+        if way == "docx":
+            body = "".join(f"<w:p><w:r><w:t>{escape(w)}</w:t></w:r></w:p>" for w in found)
+            return zipped(**{"word__document--xml": f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'})
+        if way == "xlsx":
+            cells = "".join(f'<row r="{i}"><c r="A{i}" t="inlineStr"><is><t>{escape(w)}</t></is></c></row>' for i, w in enumerate(found, 1))
+            return zipped(**{"xl__workbook--xml": '<workbook xmlns:r="r"><sheets><sheet name="S" r:id="i"/></sheets></workbook>', "xl___rels__workbook--xml--rels": '<x><Relationship Id="i" Target="s.xml"/></x>', "xl__s--xml": f"<worksheet><sheetData>{cells}</sheetData></worksheet>"})
+        body = "\r\n".join(found).encode("utf-16-le") + b"\0\0"
+        props = struct.pack("<IHHII", 1, 0x1F, 0x1000, 1, len(body)) + body + bytes(-len(body) % 4)
+        return struct.pack("<IHBII", tnef.SIGNATURE, 1, 1, tnef.MESSAGE_PROPS, len(props)) + props + b"\0\0"
+
+    return pd.Series([one(w, r) for w, r in zip(ways, rows, strict=True)], dtype=object)
+
+
+@query(
+    f"""SELECT conv_id, turn, way, CASE WHEN len(words) = 0 THEN 'empty' ELSE 'extracted' END AS status, CASE WHEN len(words) > 0 THEN sha256(CASE WHEN way = 'xlsx' THEN '[sheet: S]' || chr(10) || array_to_string(words[1:200], chr(10)) || CASE WHEN len(words) > 200 THEN chr(10) || '[+more rows]' ELSE '' END ELSE array_to_string(words, chr(10)) END) END AS text_sha256
+FROM (SELECT conv_id, turn, list_extract(['docx', 'xlsx', 'tnef'], (conv_id + turn) % 3 + 1) AS way, {_PLAIN} AS words FROM conversations)"""
+)
+def office_text(spark, sf):
+    """Conversations as documents, sheets and mail containers, and read again; a sheet's text shows 200 of its rows."""
+    from ..sources.documents import _extract
+
+    build = F.pandas_udf(_office, "binary")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", picked(F.col("conv_id") + F.col("turn"), ["docx", "xlsx", "tnef"]).alias("way"), words().alias("words"))
+    read = rows.select("conv_id", "turn", "way", _extract("way", build("way", "words")).alias("x"))
+    return read.select("conv_id", "turn", "way", "x.status", F.sha2("x.text", 256).alias("text_sha256"))
+
+
+@query(f"SELECT conv_id, turn, sha256(array_to_string({_PLAIN}, ' ')) AS text_sha256 FROM conversations")
+def html_words(spark, sf):
+    """Conversations as pages, a word in each of several elements, with references for marks: all words come back in order."""
+    from ..sources.markup import html_to_text
+
+    escaped = lambda w: F.replace(F.replace(F.replace(w, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    shown = F.transform(words(), lambda w, i: F.when(i % 3 == 0, F.concat(F.lit("<p>"), escaped(w), F.lit("</p>"))).when(i % 3 == 1, F.concat(F.lit("<div><b>"), escaped(w), F.lit("</b></div>"))).otherwise(F.concat(F.lit("<ul><li>"), escaped(w), F.lit("</ul>"))))
+    page = F.concat(F.lit("<html><head><title>no</title><style>p{}</style></head><body><script>no()</script>"), F.array_join(shown, "<!-- no -->"), F.lit("</body></html>"))
+    text = table(spark, sf, "conversations").select("conv_id", "turn", html_to_text(page).alias("text"))
+    return text.select("conv_id", "turn", F.sha2(F.array_join(F.filter(F.split(F.regexp_replace("text", r"(?m)^\s*[-*•]\s+", ""), r"\s+"), lambda w: w != ""), " "), 256).alias("text_sha256"))
