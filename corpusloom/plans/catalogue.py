@@ -660,9 +660,9 @@ def sliding_failures(spark, sf):
     return sync.in_window(table(spark, sf, "events"), ["user_id"], 3600).select("event_id", "recent")
 
 
-@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, least(60.0 * pow(2, greatest(count(*) - 5, 0)), 900.0) AS seconds FROM events GROUP BY user_id")
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, least(60.0 * pow(2, greatest(count(*) - 5, 0)), 900.0) AS seconds FROM events WHERE event_type = 'error' GROUP BY user_id")
 def lockout_seconds(spark, sf):
-    per = table(spark, sf, "events").groupBy("user_id").agg(N().alias("n"))
+    per = table(spark, sf, "events").where("event_type = 'error'").groupBy("user_id").agg(N().alias("n"))
     return per.select("user_id", "n", sync.lockout(F.greatest(F.col("n") - 5, F.lit(0))).alias("seconds"))
 
 
