@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Rows of a task whose work on a row costs far more than reading it, such as parsing a message.
+ROWS = 2_000
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table's rows dealt to as many tasks as their number asks for: a small file is one task, however many rows it has."""
+    return df.repartition(max(1, math.ceil(df.count() / ROWS)), *keys)
+
+
 def messages(spark, sf) -> DataFrame:
     scope = F.when(F.col("o_orderstatus") == "F", "org").otherwise("restricted")
     return table(spark, sf, "orders").select(F.lit("org").alias("org_id"), F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("person_id"), F.col("o_orderdate").alias("received_at"), scope.alias("visibility_scope"), F.col("o_custkey").alias("sender"), F.col("o_orderpriority").alias("subject"), F.col("o_totalprice").alias("size"))

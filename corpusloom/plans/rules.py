@@ -15,7 +15,7 @@ from ..functions import redact as R
 from ..functions import texts as X
 from ..operators import access, graph, sync
 from ..sources import audit
-from .adapters import table
+from .adapters import spread, table
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -231,7 +231,7 @@ def parsed_headers(spark, sf):
         F.lit("From: Ann <ann@x.org>\r\nTo: N <a"), k, F.lit("@x.org>, b@x.org, A"), k, F.lit("@X.ORG, \"B, c\" <B@x.org>\r\n"), F.when(key() % 2 == 0, F.concat(F.lit("Cc: <a"), k, F.lit("@x.org>, A"), k, F.lit("@x.org\r\n"))).otherwise(""),
         line(key() % 3 == 0, "Date: Sun, 10 Mar 2024 10:30:00 +0100"), line(key() % 5 == 0, "Precedence: bulk"), line(key() % 7 == 0, "Subject: AW: [x]"), F.lit("Message-ID: <"), k, F.lit("@x.org>\r\n\r\nbody "), k,
     )
-    rows = table(spark, sf, "customer").select("c_custkey", parse(raw.cast("binary"), F.lit("own@x.org"), F.lit(None).cast("timestamp")).alias("m"))
+    rows = spread(table(spark, sf, "customer"), "c_custkey").select("c_custkey", parse(raw.cast("binary"), F.lit("own@x.org"), F.lit(None).cast("timestamp")).alias("m"))
     recipients = F.array_join(F.transform("m.recipients", lambda r: F.concat(r["kind"], F.lit(":"), r["address"])), ",")
     return rows.select("c_custkey", recipients.alias("recipients"), "m.sent_at", "m.is_automated", "m.is_reply", "m.direction")
 

@@ -1,6 +1,9 @@
 """Parser, charset chain, flattening, extraction, mailbox source and snapshots."""
 
 import datetime
+import email
+import email.policy
+import email.utils
 import io
 import zipfile
 from email.message import EmailMessage
@@ -9,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
+from corpusloom.plans import catalogue
 from corpusloom.sources import charsets, documents, mailbox, markup, messages, snapshots
 
 
@@ -69,6 +73,28 @@ def test_record():
     assert messages.record(b"")["body_text"] == ""
 
 
+SHOWN = ["a@x", "<a@x>", "A <a.b@x-y.z>,b@x", "Ann Lee <a@x>, b@x", '"B, c" <b@x>', '"B c" <b@x>', "xn--a+b_c@1.2", "a_1 b <+x@-a>, <b@x>,c@y"]
+ODD = ["a@x,", "a @x", "A <a@x", "a@x;b@y", "G: a@x, b@y;", "a@x (c)", "=?utf-8?q?=C3=A9?= <a@x>", '"a\\"b" <a@x>', "A  B <a@x>", "é <a@x>", "<>", "a", "a..b@x", "A. B <a@x>", " , a@x", '"" <a@x>', "a@x b@y", "a@x,  b@y"]
+
+
+@pytest.mark.parametrize("value", SHOWN + ODD)
+@pytest.mark.parametrize("name", ["From", "to", "CC", "Sender"])
+def test_plain_lists_of_addresses_are_read_as_by_the_library(name, value):
+    message = email.message_from_bytes(f"{name}: {value}\r\n{name}: z@x\r\n\r\nx".encode(), policy=email.policy.default)
+    assert (messages.plain_pairs(value) is not None) == (value in SHOWN)
+    assert messages.header(message, name) == str(message.get(name))
+    assert messages.pairs(message, name) == [p for p in email.utils.getaddresses([str(v) for v in message.get_all(name)]) if p[1]]
+
+
+def test_parser_of_a_small_file_with_many_rows_is_several_tasks(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id as c_custkey", "'n' as c_name", "'m' as c_mktsegment")
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows.coalesce(1).selectExpr("c_custkey as conv_id", "0L as turn", "'user' as role", "c_name as text").write.parquet(str(tmp_path / "conversations.parquet"))
+    for name in ("parsed_headers", "parse_eml"):
+        tasks = catalogue.QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(tasks) == 3 and max(r["count"] for r in tasks) < 2000
+
+
 def test_parse_in_spark(spark):
     raw = [mail(), mail(html="<p>x</p>"), b"", None]
     df = spark.createDataFrame([(i, None if r is None else bytearray(r)) for i, r in enumerate(raw)], "i int, raw binary")
