@@ -12,12 +12,10 @@ import pyarrow.compute  # noqa: F401  (makes pa.compute available)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, shared_folder
+from ..session import bounded, checkpointed, shared_folder
 
 #: A word of the operator contracts: a run of bytes other than space, \t, \n, \v, \f and \r.
 WORD_REGEX = "[^\\x20\\x09-\\x0D]+"
-#: Bytes of an Arrow batch between Spark and Python: with texts of any length the number of rows bounds nothing.
-ARROW_BYTES = "4m"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +55,6 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def bounded(docs: DataFrame) -> DataFrame:
-    """``docs``, in a session whose Arrow batches are bounded by bytes."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    return docs
-
-
 def id_and_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns, whatever their names, stay out."""
     docs = bounded(docs)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from ..session import bounded
 from .charsets import decode
 
 #: Readings that are tried.
@@ -51,7 +52,7 @@ def pair_counts(df: DataFrame, column: str) -> DataFrame:
                 pair, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], schema=schema)
 
-    return df.select(column).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return bounded(df.select(column)).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -122,5 +123,5 @@ def decoded(df: DataFrame, model: Model, data: str = "data", text: str = "text")
             found = [None if d is None else model.decoded(d).encode("utf-8", "replace").decode() for d in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, text])
 
-    kept = df.select(*columns)
+    kept = bounded(df.select(*columns))
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(text, StringType())]))

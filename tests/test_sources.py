@@ -8,6 +8,8 @@ import io
 import zipfile
 from email.message import EmailMessage
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,18 @@ def test_parser_of_a_small_file_with_many_rows_is_several_tasks(spark, tmp_path)
         assert len(tasks) == 3 and max(r["count"] for r in tasks) < 2000
 
 
+@pytest.mark.parametrize("name", ["charset_coherence"])
+def test_texts_go_to_python_in_batches_bounded_by_bytes(name, spark, tmp_path):
+    spark.range(500).selectExpr("id as doc_id", "repeat('größe', 5000) as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    catalogue.QUERIES[name](spark, str(tmp_path))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).coalesce(1)
+    in_batch = F.pandas_udf(lambda texts: pd.Series([int(texts.str.len().sum())] * len(texts)), "long")
+    assert docs.select(F.max(in_batch("text"))).first()[0] < 1 << 23
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    assert sizes.agg(F.max("n")).first()[0] < 1 << 23 and sizes.count() > 1
+
+
 def test_parse_in_spark(spark):
     raw = [mail(), mail(html="<p>x</p>"), b"", None]
     df = spark.createDataFrame([(i, None if r is None else bytearray(r)) for i, r in enumerate(raw)], "i int, raw binary")
