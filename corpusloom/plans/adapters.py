@@ -7,9 +7,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bounded
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 #: Rows of a task whose work on a row costs far more than reading it, such as parsing a message.
