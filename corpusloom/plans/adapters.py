@@ -14,13 +14,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return bounded(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
-#: Rows of a task whose work on a row costs far more than reading it, such as parsing a message.
-ROWS = 2_000
+#: Rows of a task whose work on a row costs far more than reading it, such as parsing a message, and of one that sorts or groups.
+ROWS, GROUPED_ROWS = 2_000, 250_000
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def tasks(df: DataFrame, rows: int) -> int:
+    """How many tasks of about so many rows a table asks for; their number grows with it, not what each of them holds."""
+    return max(1, math.ceil(df.count() / rows))
+
+
+def spread(df: DataFrame, *keys: str, rows: int = ROWS) -> DataFrame:
     """A table's rows dealt to as many tasks as their number asks for: a small file is one task, however many rows it has."""
-    return df.repartition(max(1, math.ceil(df.count() / ROWS)), *keys)
+    return df.repartition(tasks(df, rows), *keys)
 
 
 def messages(spark, sf) -> DataFrame:
