@@ -23,11 +23,28 @@ def pending(listing: DataFrame, folders: DataFrame, cursors: DataFrame) -> DataF
     return listing.join(start_uid(folders, cursors), "folder").where("uid >= start").drop("start")
 
 
-def uid_ranges(uids: DataFrame, keys: list[str], uid: str = "uid") -> DataFrame:
-    """Runs of consecutive identifiers as (keys, first, last, n)."""
-    own = Window.partitionBy(*keys).orderBy(uid)
-    runs = uids.select(*keys, uid).distinct().withColumn("__run", F.col(uid) - F.row_number().over(own))
-    return runs.groupBy(*keys, "__run").agg(F.min(uid).alias("first"), F.max(uid).alias("last"), F.count(F.lit(1)).alias("n")).drop("__run")
+#: Identifiers of a block are those with the same bits above these.
+BLOCK_BITS = 16
+
+
+def uid_ranges(uids: DataFrame, keys: list[str], uid: str = "uid", parts: int | None = None) -> DataFrame:
+    """Runs of consecutive identifiers as (keys, first, last, n).
+
+    Runs are found in blocks of identifiers, in ``parts`` tasks, so a folder of any length is as many as it has blocks. Only those
+    that begin or end at a block's edge, two a block at most, are then held against each other along their folder."""
+    whole = (1 << BLOCK_BITS) - 1
+    rows = uids.select(*keys, uid).withColumn("__block", F.shiftright(F.col(uid).cast("long"), BLOCK_BITS))
+    rows = rows.repartition(*([parts] if parts else []), *keys, "__block").distinct()
+    runs = rows.withColumn("__run", F.col(uid) - F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(uid)))
+    found = [F.min(uid).alias("first"), F.max(uid).alias("last"), F.count(F.lit(1)).alias("n")]
+    runs = runs.groupBy(*keys, "__block", "__run").agg(*found).drop("__block", "__run")
+    edge = (F.col("first").cast("long").bitwiseAND(whole) == 0) | (F.col("last").cast("long").bitwiseAND(whole) == whole)
+    edge = F.coalesce(edge, F.lit(False))
+    along = Window.partitionBy(*keys).orderBy("first")
+    follows = F.lag("last").over(along) + 1 == F.col("first")
+    edges = runs.where(edge).withColumn("__new", F.when(follows, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(along))
+    joined = edges.groupBy(*keys, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("__run")
+    return runs.where(~edge).unionByName(joined)
 
 
 def settled_prefix(settled: DataFrame, keys: list[str], uid: str = "uid", done: str = "done", floor: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import access, graph, sync, tables
+from corpusloom.plans import adapters, catalogue
 
 
 def rows(df, *columns):
@@ -159,3 +160,29 @@ def test_a_large_folder_is_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert in_task < 20_000 / 2
+
+
+def test_ranges_go_on_over_the_edges_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sync, "BLOCK_BITS", 2, raising=False)
+    held = {"a": [-9, -8, -7, -1, 0, 1, 3, 4, 7, 8, *range(12, 29), 31, 33, 1 << 40], "b": [4], "c": [3, 5], None: [7, 8, 9], "d": [*range(-6, 40)], "e": [None, 0, 1 << 62, (1 << 63) - 1]}
+    want = []
+    for folder, uids in held.items():
+        for uid in uids:
+            if uid is None:
+                want.append([folder, None, None, 1])
+            elif want and want[-1][0] == folder and want[-1][2] == uid - 1:
+                want[-1][2:] = [uid, want[-1][3] + 1]
+            else:
+                want.append([folder, uid, uid, 1])
+    df = spark.createDataFrame([(f, u) for f, uids in held.items() for u in uids for _ in range(2)], "folder string, uid long")
+    for parts in (None, 1, 5):
+        got = sync.uid_ranges(df, ["folder"], **({"parts": parts} if parts else {}))
+        assert got.columns == ["folder", "first", "last", "n"] and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def test_ranges_of_one_folder_are_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sync, "BLOCK_BITS", 6, raising=False)
+    monkeypatch.setattr(adapters, "GROUPED_ROWS", 1000, raising=False)
+    spark.range(10_000).selectExpr("50L as l_suppkey", "2 * id as l_orderkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalogue.QUERIES["uid_ranges"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in found) == 10_000 and len(found) >= 10 and max(r["count"] for r in found) < 2000
