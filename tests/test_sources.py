@@ -97,7 +97,7 @@ def test_parser_of_a_small_file_with_many_rows_is_several_tasks(spark, tmp_path)
         assert len(tasks) == 3 and max(r["count"] for r in tasks) < 2000
 
 
-@pytest.mark.parametrize("name", ["charset_repair", "charset_coherence"])
+@pytest.mark.parametrize("name", ["charset_repair", "charset_coherence", "keyed_secrets"])
 def test_texts_go_to_python_in_batches_bounded_by_bytes(name, spark, tmp_path):
     spark.range(500).selectExpr("id as doc_id", "repeat('größe', 5000) as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
