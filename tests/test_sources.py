@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
+from corpusloom.functions import redact
 from corpusloom.plans import catalogue
 from corpusloom.sources import charsets, documents, mailbox, markup, messages, snapshots
 
@@ -109,6 +110,21 @@ def test_texts_go_to_python_in_batches_bounded_by_bytes(name, spark, tmp_path):
     assert sizes.agg(F.max("n")).first()[0] < 1 << 23 and sizes.count() > 1
 
 
+@pytest.mark.parametrize("name, seen", [("keyed_secrets", "tail"), ("redact_full", "secrets")])
+def test_masking_itself_gets_batches_bounded_by_bytes(name, seen, spark, tmp_path, monkeypatch):
+    docs = spark.range(500).selectExpr("id as doc_id", "concat(repeat('größe', 5000), ' password: Zk3vQ9xT1mB7Zk') as text")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def told(texts: pd.Series) -> pd.DataFrame:
+        n = int(texts.str.len().sum())
+        return pd.DataFrame({"text": [f"x . client_secret: {n}"] * len(texts), "count": [n] * len(texts)})
+
+    monkeypatch.setattr(redact, "redact_secrets", F.pandas_udf(told, "text string, count int"))
+    chars = [int(r[0]) for r in catalogue.QUERIES[name](spark, str(tmp_path)).select(seen).collect()]
+    assert len(chars) == 500 and 25_000 < max(chars) < 1 << 23
+
+
 def test_parse_in_spark(spark):
     raw = [mail(), mail(html="<p>x</p>"), b"", None]
     df = spark.createDataFrame([(i, None if r is None else bytearray(r)) for i, r in enumerate(raw)], "i int, raw binary")
